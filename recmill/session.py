@@ -61,3 +61,9 @@ def no_nan(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, FloatType | DoubleType):
             out = out.withColumn(f.name, F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)))
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a small input is read as fewer pieces; a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
