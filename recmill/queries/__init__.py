@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("skew",)
+_MODULES = ("skew", "datasets", "lists", "splits", "scorers", "metrics")
 
 
 def all_queries() -> dict:
