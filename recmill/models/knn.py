@@ -138,8 +138,8 @@ class AssociationScorer(Scorer):
         k = F.lit(float(self.config.damping))
         rule = c.join(n.select(F.col("item_id").alias("item_a"), F.col("n").alias("na")), "item_a").withColumn("v", F.col("n") / (F.col("na") + k))
         if self.config.method == "lift":
-            users = d.agg(F.count_distinct("user_id").alias("N"))
-            rule = rule.join(n.select(F.col("item_id").alias("item_b"), F.col("n").alias("nb")), "item_b").crossJoin(F.broadcast(users)).withColumn("v", F.col("v") * F.col("N") / (F.col("nb") + k))
+            users = d.agg(F.count_distinct("user_id").alias("n_users"))
+            rule = rule.join(n.select(F.col("item_id").alias("item_b"), F.col("n").alias("nb")), "item_b").crossJoin(F.broadcast(users)).withColumn("v", F.col("v") * F.col("n_users") / (F.col("nb") + k))
         self.tables |= {"rules": rule.select(F.col("item_a").alias("ref"), F.col("item_b").alias("item_id"), "v"), "items": n.select("item_id"), "history": d}
 
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:

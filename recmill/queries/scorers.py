@@ -87,17 +87,17 @@ s as (select p.user_id, p.item_id, sum(r.p) as sp, max(r.p) as mp, sum(r.l) as s
 k as (select user_id, count(*) as k from t group by 1)"""
 
 
-@register(f"with {_RULES} select p.user_id, p.item_id, round(case when n.n is not null then coalesce(sp, 0) / k end, 5) as score from pairs p left join s using (user_id, item_id) left join k using (user_id) left join n using (item_id)")
+@register(f"with {_RULES} select p.user_id, p.item_id, round((case when n.n is not null then coalesce(sp, 0) / k end)::float::double, 5) as score from pairs p left join s using (user_id, item_id) left join k using (user_id) left join n using (item_id)")
 def score_association(spark, d):
     return _scored_by(spark, d, AssociationScorer())
 
 
-@register(f"with {_RULES} select p.user_id, p.item_id, round(case when n.n is not null then coalesce(sl, 0) / k end, 4) as score from pairs p left join s using (user_id, item_id) left join k using (user_id) left join n using (item_id)")
+@register(f"with {_RULES} select p.user_id, p.item_id, round((case when n.n is not null then coalesce(sl, 0) / k end)::float::double, 4) as score from pairs p left join s using (user_id, item_id) left join k using (user_id) left join n using (item_id)")
 def score_association_lift(spark, d):
     return _scored_by(spark, d, AssociationScorer(method="lift"), 4)
 
 
-@register(f"with {_RULES} select p.user_id, p.item_id, round(case when n.n is not null and k > 0 then coalesce(mp, 0) end, 5) as score from pairs p left join s using (user_id, item_id) left join k using (user_id) left join n using (item_id)")
+@register(f"with {_RULES} select p.user_id, p.item_id, round((case when n.n is not null and k > 0 then coalesce(mp, 0) end)::float::double, 5) as score from pairs p left join s using (user_id, item_id) left join k using (user_id) left join n using (item_id)")
 def score_association_max(spark, d):
     return _scored_by(spark, d, AssociationScorer(max_nbrs=1))
 
@@ -116,13 +116,13 @@ from pairs p join v on v.user_id = p.user_id join sims s on s.i = p.item_id and
 
 
 @register(f"""with {_knn("item_id", "user_id", True)}{_ITEM_NEAR}, g as (select user_id, item_id, sum(sim * c) / sum(sim) as s from near where k <= 20 group by 1, 2)
-select p.user_id, p.item_id, round(g.s + m.m, 4) as score from pairs p left join g using (user_id, item_id) left join (select item_id, any_value(m) as m from m group by 1) m using (item_id)""")
+select p.user_id, p.item_id, round((g.s + m.m)::float::double, 4) as score from pairs p left join g using (user_id, item_id) left join (select item_id, any_value(m) as m from m group by 1) m using (item_id)""")
 def score_item_knn(spark, d):
     return _scored_by(spark, d, ItemKNNScorer(), 4)
 
 
 @register(f"""with {_knn("item_id", "user_id", False)}{_ITEM_NEAR}, g as (select user_id, item_id, sum(sim) as s from near where k <= 20 group by 1, 2)
-select p.user_id, p.item_id, round(g.s, 4) as score from pairs p left join g using (user_id, item_id)""")
+select p.user_id, p.item_id, round(g.s::float::double, 4) as score from pairs p left join g using (user_id, item_id)""")
 def score_item_knn_implicit(spark, d):
     return _scored_by(spark, d, ItemKNNScorer(feedback="implicit"), 4)
 
@@ -132,13 +132,13 @@ from pairs p join v on v.item_id = p.item_id join sims s on s.i = p.user_id and
 
 
 @register(f"""with {_knn("user_id", "item_id", True)}{_USER_NEAR}, g as (select user_id, item_id, sum(sim * c) / sum(sim) as s from near where k <= 20 group by 1, 2)
-select p.user_id, p.item_id, round(g.s + m.m, 4) as score from pairs p left join g using (user_id, item_id) left join (select user_id, any_value(m) as m from m group by 1) m using (user_id)""")
+select p.user_id, p.item_id, round((g.s + m.m)::float::double, 4) as score from pairs p left join g using (user_id, item_id) left join (select user_id, any_value(m) as m from m group by 1) m using (user_id)""")
 def score_user_knn(spark, d):
     return _scored_by(spark, d, UserKNNScorer(), 4)
 
 
 @register(f"""with {_knn("user_id", "item_id", False)}{_USER_NEAR}, g as (select user_id, item_id, sum(sim) as s from near where k <= 20 group by 1, 2)
-select p.user_id, p.item_id, round(g.s, 4) as score from pairs p left join g using (user_id, item_id)""")
+select p.user_id, p.item_id, round(g.s::float::double, 4) as score from pairs p left join g using (user_id, item_id)""")
 def score_user_knn_implicit(spark, d):
     return _scored_by(spark, d, UserKNNScorer(feedback="implicit"), 4)
 
