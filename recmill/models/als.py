@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,21 +32,49 @@ def solve_side(rows: DataFrame, key: str, dim: int, reg: float, scale_by_n: bool
         a = a + (reg * n if scale_by_n else reg) * np.eye(dim)
         return np.linalg.solve(a if base is None else a + base, b)
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, w, y = np.vstack(pdf["q"]), pdf["w"].to_numpy(), pdf["y"].to_numpy()
-        a, b = (q * w[:, None]).T @ q, q.T @ y
-        whole = pdf["_k"].iloc[0] == 1
-        return pd.DataFrame({key: pdf[key].iloc[:1], "n": [len(pdf)], "a": [None if whole else a.ravel()], "b": [None if whole else b], "vec": [solved(a, b, len(pdf)) if whole else None]})
+    def partial(batches):
+        held = None  # [key, salt, whole, n, a, b] of the key that goes on
+
+        def finish(h):
+            return h[0], h[3], None if h[2] else h[4].ravel(), None if h[2] else h[5], solved(h[4], h[5], h[3]) if h[2] else None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, salt, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in (key, "_s", "_k"))
+            q = batch.column("q").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+            w, y = batch.column("w").to_numpy(zero_copy_only=False), batch.column("y").to_numpy(zero_copy_only=False)
+            edges = np.append(np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (salt[1:] != salt[:-1]))), len(ids))
+            rows = []
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                x = q[s:e]
+                a, b = (x * w[s:e, None]).T @ x, x.T @ y[s:e]
+                if held and held[0] == ids[s] and held[1] == salt[s]:
+                    held[3:] = [held[3] + int(e - s), held[4] + a, held[5] + b]
+                    continue
+                if held:
+                    rows.append(finish(held))
+                held = [ids[s], salt[s], many[s] == 1, int(e - s), a, b]
+            if rows:
+                yield _record_batch(rows, key, kind)
+        if held:
+            yield _record_batch([finish(held)], key, kind)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, n = sum(pdf["a"]).reshape(dim, dim), sum(pdf["b"]), int(pdf["n"].sum())
         return pd.DataFrame({key: pdf[key].iloc[:1], "vec": [solved(a, b, n)]})
 
-    out = cut(salted.groupBy(key, "_s").applyInPandas(partial, f"{key} {kind}, n long, a array<double>, b array<double>, vec array<double>"), "solved")
+    together = salted.select(key, "_s", "_k", "q", "w", "y").repartition(key, "_s").sortWithinPartitions(key, "_s")
+    out = cut(together.mapInArrow(partial, f"{key} {kind}, n long, a array<double>, b array<double>, vec array<double>"), "solved")
     hot = out.where("vec is null").groupBy(key).applyInPandas(total, f"{key} {kind}, vec array<double>")
     return out.where("vec is not null").select(key, "vec").unionByName(hot)
 
 
+def _record_batch(rows: list[tuple], key: str, kind: str) -> pa.RecordBatch:
+    types = (pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64(), pa.int64(), *[pa.list_(pa.float64())] * 3)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[key, "n", "a", "b", "vec"])
+
+
 def gram(vectors: DataFrame, dim: int) -> np.ndarray:
     """Q'Q, summed by partition."""
 
