@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +42,9 @@ class _Factors(Scorer):
         return u, i, got["r"].to_numpy(float)
 
     def _keep(self, spark, p: np.ndarray, q: np.ndarray, bu=None, bi=None, base: float = 0.0) -> None:
-        frame = lambda key, ids, v, b: spark.createDataFrame(pd.DataFrame({key: ids, "vec": list(v.astype(float)), "b": np.zeros(len(ids)) if b is None else b.astype(float)}), f"{key} {'string' if ids.dtype == object else 'long'}, vec array<double>, b double")
+        def frame(key, ids, v, b):
+            return spark.createDataFrame(pa.table({key: pa.array(ids.tolist()), "vec": pa.array(list(v.astype(float)), pa.list_(pa.float64())), "b": pa.array(np.zeros(len(ids)) if b is None else b.astype(float))}))
+
         self.base_score = float(base)
         self.tables = {"user": frame("user_id", self.user_ids, p, bu), "item": frame("item_id", self.item_ids, q, bi)}
 

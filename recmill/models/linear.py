@@ -41,21 +41,23 @@ class EASEScorer(_Weights):
 
     def fit(self, log: DataFrame, options: TrainingOptions) -> None:
         d = cut(known_pairs(log).select("user_id", "item_id").distinct(), "history")
-        ids = [r[0] for r in d.select("item_id").distinct().orderBy("item_id").limit(MAX_DENSE_ITEMS + 1).collect()]
-        if len(ids) > MAX_DENSE_ITEMS:
+        if d.select("item_id").distinct().limit(MAX_DENSE_ITEMS + 1).count() > MAX_DENSE_ITEMS:
             raise ValueError(f"EASE needs a dense matrix of all items; more than {MAX_DENSE_ITEMS} is refused, use SLIM with max_nbrs")
-        at = {x: i for i, x in enumerate(ids)}
-        c = cooccurrence(d, "user_id", "item_id", True).where("item_a <= item_b").toPandas()
-        g = np.zeros((len(ids), len(ids)))
-        a, b = c["item_a"].map(at).to_numpy(int), c["item_b"].map(at).to_numpy(int)
-        g[a, b] = g[b, a] = c["n"]
-        p = np.linalg.inv(g + self.config.regularization * np.eye(len(ids)))
-        w = -p / np.diag(p)[None, :]
-        np.fill_diagonal(w, 0)
-        i, j = np.nonzero(w)
-        spark = log.sparkSession
-        kind = np.array(ids)
-        self.tables["weights"] = cut(spark.createDataFrame(pd.DataFrame({"ref": kind[i], "item_id": kind[j], "w": w[i, j]})), "weights") if len(ids) else d.select(F.col("item_id").alias("ref"), "item_id", F.lit(0.0).alias("w"))
+        reg, kind = self.config.regularization, dict(d.dtypes)["item_id"]
+
+        def invert(pdf: pd.DataFrame) -> pd.DataFrame:
+            ids = np.sort(pdf["item_a"].unique())  # every item is on the diagonal
+            a, b = np.searchsorted(ids, pdf["item_a"]), np.searchsorted(ids, pdf["item_b"])
+            g = reg * np.eye(len(ids))
+            np.add.at(g, (a, b), pdf["n"].to_numpy(float))
+            p = np.linalg.inv(g)
+            w = -p / np.diag(p)[None, :]
+            np.fill_diagonal(w, 0)
+            return pd.DataFrame({"item_id": ids, "refs": [ids] * len(ids), "w": list(w.T)})
+
+        # the one task that inverts holds a matrix of checked size
+        wide = cooccurrence(d, "user_id", "item_id", True).groupBy(F.lit(1).alias("one")).applyInPandas(invert, f"item_id {kind}, refs array<{kind}>, w array<double>")
+        self.tables["weights"] = cut(wide.select("item_id", F.explode(F.arrays_zip("refs", "w")).alias("x")).select(F.col("x.refs").alias("ref"), "item_id", F.col("x.w").alias("w")).where("w <> 0"), "weights")
         self.tables |= {"history": d, "items": d.select("item_id").distinct()}
 
 
