@@ -59,17 +59,18 @@ scored as (select algorithm, user_id, item_id, max(score) + 0::float as score fr
            where algorithm is not null and user_id is not null and item_id is not null and score is not null and not isnan(score)
            group by all)"""
 
-#: Lists are ranked to this length where a query compares or measures them.
+#: The length to which ``list_top_n`` cuts, and RECS in every SQL.
 LENGTH = 20
 
 RECS = f"""{SCORED},
 recs as (select * from (select *, row_number() over (partition by algorithm, user_id order by score desc, item_id)::int as rank from scored) where rank <= {LENGTH})"""
 
 
-def recs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recs(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
+    """The ranked lists, whole unless ``n`` is given."""
     from recmill.operators.lists import rank_lists
 
-    return rank_lists(scored(spark, sf_dir), ["algorithm", "user_id"], n=LENGTH)
+    return rank_lists(scored(spark, sf_dir), ["algorithm", "user_id"], n=n)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

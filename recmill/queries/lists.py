@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recmill.operators import lists as li
 from recmill.operators.fair import fair_rerank
-from recmill.queries.common import RECS, SCORED, TASTES, recs, registry, scored, tastes
+from recmill.queries.common import LENGTH, RECS, SCORED, TASTES, recs, registry, scored, tastes
 
 QUERIES, SQL, register = registry()
 KEYS = ["algorithm", "user_id"]
@@ -24,7 +24,7 @@ def list_remove(spark, d):
 
 @register(f"with {RECS} select algorithm, user_id, item_id, score::double as score, rank from recs")
 def list_top_n(spark, d):
-    return recs(spark, d).select(*KEYS, "item_id", F.col("score").cast("double").alias("score"), "rank")
+    return recs(spark, d, LENGTH).select(*KEYS, "item_id", F.col("score").cast("double").alias("score"), "rank")
 
 
 @register(f"with {SCORED} select algorithm, user_id, item_id, row_number() over (partition by algorithm, user_id order by score desc, item_id)::int as rank from scored")

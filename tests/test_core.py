@@ -178,3 +178,18 @@ def test_negatives(spark, simple):
     got = li.sample_negatives(simple.select("user_id", F.col("item_id").alias("positive")), simple, simple, 2, attempts=60).collect()
     seen = {(u, i) for i, u, _ in SIMPLE}
     assert len(got) == 8 and all((r["user_id"], r["item_id"]) not in seen for r in got)
+
+
+def test_queries_see_whole_lists(spark, tmp_path):
+    from recmill.queries.common import recs
+    from recmill.queries.lists import QUERIES as LISTS
+    from recmill.queries.metrics import QUERIES as METRICS
+
+    d = str(tmp_path)
+    spark.createDataFrame([("pop", 1, i, float(50 - i)) for i in range(50)], "algorithm string, user_id int, item_id int, score float").write.parquet(f"{d}/item_lists.parquet")
+    spark.createDataFrame([(1, 4, 3.0), (1, 44, 5.0)], "user int, item int, rating float").write.parquet(f"{d}/topn_java_ratings.parquet")
+    assert recs(spark, d).count() == 50 and LISTS["list_top_n"](spark, d).count() == 20
+    r = METRICS["metrics_relevance"](spark, d).first()
+    assert (r["N"], r["Recall"], r["AveragePrecision"]) == (50, 1.0, round((1 / 5 + 2 / 45) / 2, 6))
+    assert METRICS["metrics_unique_items"](spark, d).first()[0] == 50
+    assert LISTS["list_slice"](spark, d).count() == 45
