@@ -7,7 +7,9 @@ of its neighbours by key, and the windows of all curves are merged and reranked
 How often the curves agree on what they found says how much they missed (Chao's estimator on the
 neighbours seen by one and by two curves). Where it says that a neighbour may be missing, which in data
 without clusters is the rule, the probe's window widens to the curve's whole length: it is compared with
-the curve's blocks of consecutive keys, without those that lie too far off to hold a better vector.
+the curve's blocks of consecutive keys, without those that lie too far off to hold a better vector. The
+same holds where a window ends among rows of the probe's own key or among rows that are as near as the
+k-th best: behind its end there may be more of them, as with copies of a vector, on which all curves agree.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ MISSED = 0.05
 BLOCK, PACK = 8192, 4096
 
 _HIT = "kind string, probe int, id int, r int"
+#: ``edge`` of a window that ends among rows of the probe's own key: above every r.
+_FULL = 2_000_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -110,9 +114,9 @@ _NONE = -2_000_000
 
 
 def _window_hits(k: int, width: int, dim: int):
-    """Sorted rows of curves in; for every probe the k best of its window out."""
+    """Sorted rows of curves in; for every probe the k best of its window out, with the greatest r at the window's ends."""
 
-    def hits(kind, curve, ids, probe, unit, lo, hi):
+    def hits(kind, curve, key, ids, probe, unit, lo, hi):
         at = np.flatnonzero(probe[lo:hi]) + lo
         for a in range(0, len(at), 256):
             p = at[a : a + 256]
@@ -122,6 +126,9 @@ def _window_hits(k: int, width: int, dim: int):
             inside &= (kind[near] == kind[p][:, None]) & (curve[near] == curve[p][:, None])
             r = np.rint(np.einsum("pcd,pd->pc", unit[near], unit[p]) * 1e6).astype(np.int64)
             r = np.where(inside, r, _NONE)
+            ends = [0, -1]
+            full = inside[:, ends] & (key[near[:, ends]] == key[p][:, None])
+            edge = np.where(full, _FULL, r[:, ends]).max(1)
             best = _best(r, ids[near], k)
             found = np.take_along_axis(r, best, 1)
             keep = found > _NONE
@@ -131,14 +138,15 @@ def _window_hits(k: int, width: int, dim: int):
                     pa.array(np.repeat(ids[p], best.shape[1])[keep.ravel()], pa.int32()),
                     pa.array(np.take_along_axis(ids[near], best, 1)[keep], pa.int32()),
                     pa.array(found[keep], pa.int32()),
+                    pa.array(np.repeat(edge, best.shape[1])[keep.ravel()], pa.int32()),
                 ],
-                names=["kind", "probe", "id", "r"],
+                names=["kind", "probe", "id", "r", "edge"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, begin = None, 0  # rows from `begin` on have not had their turn; `width` rows before them are kept
         for b in batches:
-            new = [b.column("kind").to_numpy(zero_copy_only=False), b.column("curve").to_numpy(), b.column("id").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False), _unit(_rows(b.column("vec"), dim))]
+            new = [b.column("kind").to_numpy(zero_copy_only=False), b.column("curve").to_numpy(), b.column("key").to_numpy(), b.column("id").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False), _unit(_rows(b.column("vec"), dim))]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             end = len(held[0]) - width
             if end > begin:
@@ -257,14 +265,15 @@ def nearest(vectors: DataFrame, probes: DataFrame, k: int = 10, dim: int = 48, w
     marked = cut(known.join(wanted, ["kind", "id"], "left").select("kind", "id", F.coalesce("probe", F.lit(False)).alias("probe"), "vec"), "vectors")
     schema = "kind string, curve short, key long, id int, probe boolean, vec array<float>"
     ordered = marked.mapInArrow(_keys(dim, list(range(CURVES))), schema).repartitionByRange(parts, "kind", "curve", "key").sortWithinPartitions("kind", "curve", "key", "id")
-    seen = ordered.mapInArrow(_gathered(_window_hits(k, WINDOW, dim)), _HIT)
-    merged = seen.groupBy("kind", "probe", "id").agg(F.max("r").alias("r"), F.count("*").alias("times"))
+    seen = ordered.mapInArrow(_gathered(_window_hits(k, WINDOW, dim)), _HIT + ", edge int")
+    merged = seen.groupBy("kind", "probe", "id").agg(F.max("r").alias("r"), F.count("*").alias("times"), F.max("edge").alias("edge"))
+    merged = merged.withColumn("edge", F.max("edge").over(Window.partitionBy("kind", "probe")))
     first = cut(_top(merged, k), "windows")
     if not widen:
         return _named(first)
     f1, f2 = F.sum(F.when(F.col("times") == 1, 1).otherwise(0)), F.sum(F.when(F.col("times") == 2, 1).otherwise(0))
-    state = first.groupBy("kind", "probe").agg(F.count("*").alias("n"), F.min("r").alias("r"), f1.alias("f1"), f2.alias("f2"))
-    sure = (F.col("n") >= k) & (F.col("f1") * (F.col("f1") - 1) / (2 * (F.col("f2") + 1)) <= MISSED)
+    state = first.groupBy("kind", "probe").agg(F.count("*").alias("n"), F.min("r").alias("r"), f1.alias("f1"), f2.alias("f2"), F.max("edge").alias("edge"))
+    sure = (F.col("n") >= k) & (F.col("edge") < F.col("r")) & (F.col("f1") * (F.col("f1") - 1) / (2 * (F.col("f2") + 1)) <= MISSED)
     all_probes = marked.where("probe").select("kind", F.col("id").alias("probe"), "vec")
     open_ = all_probes.join(state.where(sure), ["kind", "probe"], "left_anti").join(state.select("kind", "probe", "n", "r"), ["kind", "probe"], "left")
     # k-th best so far; without k neighbours anything may be better

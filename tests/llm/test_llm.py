@@ -54,6 +54,20 @@ def test_nearest(spark):
     assert nearest(vec.where("false"), probes, 5, 8).count() == 0
 
 
+def test_nearest_of_copies(spark):
+    """More copies of a vector, equal and proportional, than a window holds: the smallest ids count."""
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((700, 8)).astype(np.float32)
+    v[200:450] = v[200]
+    v[450:600] = np.float32(3) * v[200]
+    vec = spark.createDataFrame([("a", i, [float(x) for x in r]) for i, r in enumerate(v)], "kind string, id int, vec array<float>")
+    probes = spark.createDataFrame([("a", i) for i in (200, 330, 449, 520, 599)], "kind string, id int")
+    got = {}
+    for r in nearest(vec, probes, 5, 8).orderBy("rank").collect():
+        got.setdefault(r["probe"], []).append(r["id"])
+    assert got == {p: [i for i in range(200, 206) if i != p][:5] for p in (200, 330, 449, 520, 599)}
+
+
 def test_similar_sets(spark):
     sets = {i: set(RNG.choice(60, RNG.integers(3, 15), replace=False).tolist()) for i in range(80)}
     sets[81], sets[82] = sets[3], sets[3]
