@@ -1,9 +1,10 @@
-"""Problem 4: all pairs of records whose sets overlap at least so much, by sorted sketch forests.
+"""Problem 4: all pairs of records whose sets overlap at least so much, by banded minhash.
 
-Each set has a minhash signature in every one of many independent trees. In a tree the signatures are
-ordered lexicographically and records with a common prefix are neighbours. The prefix deepens as far as
-the target recall allows for the number of trees: at depth d a pair of similarity s meets in a tree with
-probability s ** d, so it is missed by all of T trees with (1 - s ** d) ** T. Neighbours are verified on
+Each set has a minhash signature of fixed depth in every one of many independent trees. The depth's minima
+are folded into one 64-bit prefix, and records with an equal prefix in a tree are neighbours. Nothing is
+ordered lexicographically and no prefix deepens: ``plan_forest`` sets depth and number of trees from the
+threshold. At depth d a pair of similarity s meets in a tree with probability s ** d, so it is missed by
+all of T trees with (1 - s ** d) ** T. Neighbours are verified on
 the sets themselves.
 """
 
