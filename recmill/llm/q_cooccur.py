@@ -14,8 +14,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_basket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair that is in at least two lists, with its measures."""
-    out = basket_pairs(table(spark, sf_dir, "topn_java_ratings"), "user", "item", 2)
+    """Every pair that is in a list, with its measures."""
+    out = basket_pairs(table(spark, sf_dir, "topn_java_ratings"), "user", "item")
     return out.withColumn("lift", F.round("lift", 6)).withColumn("log_odds", F.round("log_odds", 6))
 
 

@@ -96,6 +96,14 @@ def test_pairs(spark, monkeypatch):
     assert basket_pairs(df.where("false"), "u", "i").count() == 0
 
 
+def test_basket_query_counts_every_pair(spark, tmp_path):
+    from recmill.llm.q_cooccur import p5_basket_pairs
+
+    spark.createDataFrame([(1, 1, 3.0), (1, 2, 4.0), (2, 1, 5.0), (2, 2, None), (2, 3, 1.0)], "user int, item int, rating float").write.parquet(f"{tmp_path}/topn_java_ratings.parquet")
+    got = {(r["item_a"], r["item_b"]): (r["n_both"], r["n_a"], r["n_b"]) for r in p5_basket_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): (2, 2, 2), (1, 3): (1, 2, 1), (2, 3): (1, 2, 1)}
+
+
 def test_top_n(spark):
     rows = [("a", 1, i, s, 3) for i, s in enumerate([0.5, 0.5, None, float("nan"), 0.9, -0.0, 0.0, -1.5])]
     rows += [("a", 1, 4, 0.1, 3), ("b", 1, 5, 0.0, -1), ("b", 1, 6, -2.0, -1), ("c", 2, 5, 1.0, None), ("d", 1, 1, 1.0, 0), (None, 1, 1, 1.0, 3), ("a", 1, None, 5.0, 3)]
