@@ -154,6 +154,8 @@ class NMFScorer(_Factors):
 
     def fit(self, log: DataFrame, options: TrainingOptions) -> None:
         c = self.config
+        if c.beta_loss != "frobenius" or c.method != "full":
+            raise NotImplementedError("beta_loss must be frobenius and method full")
         u, i, r = self._collect(log)
         m, n, rng = len(self.user_ids), len(self.item_ids), np.random.default_rng(options.seed)
         k = min(c.embedding_size, max(m, 1), max(n, 1))

@@ -1,4 +1,4 @@
-"""Hyperparameter search: random or tree-structured proposals, with stopping rules for iterative trials."""
+"""Hyperparameter search: random proposals, or proposals near good trials, with stopping rules for iterative trials."""
 
 from __future__ import annotations
 
@@ -70,11 +70,13 @@ class Trial:
 class PipelineTuner:
     """Trials of ``measure(config) -> float`` (or of an iterator of values, one per epoch).
 
-    The default configuration goes first; later proposals are drawn at random, or ("tpe") half of them near
+    The default configuration goes first; later proposals are drawn at random, or ("near") half of them near
     the best quarter of the trials so far.
     """
 
     def __init__(self, space: dict[str, SearchParam], measure: Callable[[dict], object], default: dict | None = None, metric: str = "NDCG", method: str = "random", max_points: int = 60, jobs: int = 1, seed: int = 0, plateau: PlateauStopRule | None = None):
+        if method not in ("random", "near"):
+            raise NotImplementedError(f"no search method {method}: only random and near")
         self.space, self.measure, self.default, self.method = space, measure, default, method
         self.metric, self.max_points, self.jobs, self.rng = metric, max_points, jobs, random.Random(seed)
         self.direction = "min" if metric in ("RMSE", "MAE") else "max"
@@ -87,7 +89,7 @@ class PipelineTuner:
     def propose(self) -> dict:
         good = sorted((t for t in self.trials if t.value is not None), key=self._order, reverse=True)
         near = None
-        if self.method == "tpe" and len(good) >= 8 and self.rng.random() < 0.5:
+        if self.method == "near" and len(good) >= 8 and self.rng.random() < 0.5:
             near = self.rng.choice(good[: max(1, len(good) // 4)]).config
         return {k: p.sample(self.rng, None if near is None else near[k]) for k, p in self.space.items()}
 

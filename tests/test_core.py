@@ -193,3 +193,14 @@ def test_queries_see_whole_lists(spark, tmp_path):
     assert (r["N"], r["Recall"], r["AveragePrecision"]) == (50, 1.0, round((1 / 5 + 2 / 45) / 2, 6))
     assert METRICS["metrics_unique_items"](spark, d).first()[0] == 50
     assert LISTS["list_slice"](spark, d).count() == 45
+
+
+def test_missing_variants_are_refused(simple):
+    from recmill.models.factor import NMFScorer
+    from recmill.plans.tuning import PipelineTuner
+
+    for setting in ({"beta_loss": "kullback-leibler"}, {"method": "minibatch"}):
+        with pytest.raises(NotImplementedError):
+            NMFScorer(**setting).train(simple)
+    with pytest.raises(NotImplementedError):
+        PipelineTuner({}, lambda c: 0.0, method="tpe")
