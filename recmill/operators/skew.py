@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recmill.session import cut
+from recmill.session import cut, drop_cut
 
 #: Rows of one key that are processed together.
 CHUNK_ROWS = 50_000
+#: Keys above one chunk that the driver may hold; beyond about ``CHUNK_ROWS`` times as many rows, chunks grow.
+MAX_LONG_KEYS = 200_000
 
 _STATE = (
     "key_field string, key_value bigint, chunk bigint, seq bigint, n bigint, n_values bigint, total double, "
@@ -27,48 +29,50 @@ _STATE = (
 )
 
 
-def _states(chunk_rows: int, starts: dict[int, int]):
-    """Arrow function: sorted rows in, one state for each stretch of a key within a chunk out."""
+def _stretches(long_keys: dict[tuple[int, int, int], tuple[int, int]], chunk_rows: int):
+    """Arrow function: sorted rows with their place in their part in; one state for each stretch of a key
+    within a chunk out, as far as a batch reaches.
+
+    ``long_keys`` has, for each (part, field, key) of a key above one chunk, its first row in the part and
+    how many of its rows lie in earlier parts: with them the number of any row within its key follows from
+    its place alone, wherever a task begins to read. Keys of one chunk need no number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file_now, first_key, key_now, seen = -1, True, None, 0
         for b in batches:
             if not b.num_rows:
                 continue
             col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-            part = col["part"].to_numpy(zero_copy_only=False)
-            field = col["field"].to_numpy(zero_copy_only=False)
-            key = col["key"].to_numpy(zero_copy_only=False)
+            part, row, field, key = (col[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "row", "field", "key"))
             order = col["o"].fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             value = col["v"].fill_null(np.nan).to_numpy(zero_copy_only=False)
-            new = np.ones(len(key), bool)
-            new[1:] = (part[1:] != part[:-1]) | (field[1:] != field[:-1]) | (key[1:] != key[:-1])
-            edges = np.append(np.flatnonzero(new), len(key))
-            rows: dict[str, list] = {name: [] for name in ("f", "k", "c", "s", "n", "nv", "t", "r", "fv", "lv", "fo", "lo")}
-            for a, z in zip(edges[:-1], edges[1:], strict=True):
-                if part[a] != file_now:
-                    file_now, first_key, key_now = part[a], True, None
-                if (field[a], key[a]) != key_now:
-                    first_key = first_key and key_now is None
-                    key_now, seen = (field[a], key[a]), starts.get(int(part[a]), 0) if first_key else 0
-                    first_key = False
-                while a < z:
-                    chunk = seen // chunk_rows
-                    e = min(z, a + (chunk + 1) * chunk_rows - seen)
-                    v = value[a:e]
-                    known = v[~np.isnan(v)]
-                    for name, x in zip(rows, (int(field[a]), int(key[a]), chunk, seen, e - a, len(known), known.sum(), int((known[1:] > known[:-1]).sum()), known[0] if len(known) else None, known[-1] if len(known) else None, int(order[a]), int(order[e - 1])), strict=True):
-                        rows[name].append(x)
-                    seen += e - a
-                    a = e
+            new = np.append(True, (part[1:] != part[:-1]) | (field[1:] != field[:-1]) | (key[1:] != key[:-1]))
+            first = np.flatnonzero(new)
+            chunk = np.zeros(len(key), np.int64)
+            for a, z in zip(first, np.append(first[1:], len(key)), strict=True) if long_keys else ():
+                at = long_keys.get((int(part[a]), int(field[a]), int(key[a])))
+                if at is not None:
+                    chunk[a:z] = (row[a:z] - at[0] + at[1]) // chunk_rows
+            new[1:] |= chunk[1:] != chunk[:-1]
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(key)) - 1
+            piece = np.cumsum(new) - 1
+            known = np.flatnonzero(~np.isnan(value))
+            of, v = piece[known], value[known]
+            n_known = np.bincount(of, minlength=len(first))
+            rises = np.bincount(of[1:], weights=(of[1:] == of[:-1]) & (v[1:] > v[:-1]), minlength=len(first)).astype(np.int64) if len(v) else np.zeros(len(first), np.int64)
+            total = np.bincount(of, weights=v, minlength=len(first))
+            end = np.cumsum(n_known)
+            some = n_known > 0
+            first_value, last_value = (np.where(some, np.append(v, 0.0)[np.where(some, at, len(v))], np.nan) for at in (end - n_known, end - 1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([str(x) for x in rows["f"]], pa.string()),
-                    *(pa.array(rows[c], pa.int64()) for c in ("k", "c", "s", "n", "nv")),
-                    pa.array(rows["t"], pa.float64()),
-                    pa.array(rows["r"], pa.int64()),
-                    *(pa.array(rows[c], pa.float64()) for c in ("fv", "lv")),
-                    *(pa.array(rows[c], pa.int64()) for c in ("fo", "lo")),
+                    pa.array(field[first].astype(str)),
+                    *(pa.array(x, pa.int64()) for x in (key[first], chunk[first], (part[first] << 40) | row[first], last - first + 1, n_known)),
+                    pa.array(total, pa.float64()),
+                    pa.array(rises, pa.int64()),
+                    *(pa.array(x, pa.float64(), from_pandas=True) for x in (first_value, last_value)),
+                    *(pa.array(order[x], pa.int64()) for x in (first, last)),
                 ],
                 names=[x.split()[0] for x in _STATE.split(", ")],
             )
@@ -92,14 +96,19 @@ def chunk_states(df: DataFrame, keys: Sequence[str], value: str, order: str, tie
     sort = ["field", "key", "o", *[f"t{j}" for j in range(len(ties))], "v"]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = cut(rows.repartitionByRange(n, *sort).sortWithinPartitions(*sort).select("field", "key", "o", "v"), "ordered")
-    # the partition's number is in the name of the file it was written to; rows keep their place in it
-    numbered = ordered.select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-", 1).cast("int").alias("part"), "field", "key", "o", "v")
-    counts = numbered.groupBy("part", "field", "key").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("field", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # sorted partitions: only the first key of a partition can have begun in an earlier one, so there is
-    # at most one offset per partition
-    offsets = counts.withColumn("start", F.sum("n").over(before)).where("start > 0").select("part", "start").collect()
-    states = numbered.mapInArrow(_states(chunk_rows, {r["part"]: r["start"] for r in offsets}), _STATE)
+    # a row's part is in the name of its file and its place in the part is its index there, however the
+    # file is later split into tasks
+    placed = ordered.select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-", 1).cast("int").alias("part"), F.col("_metadata.row_index").alias("row"), "field", "key", "o", "v")
+    counts = cut(placed.groupBy("part", "field", "key").agg(F.count("*").alias("n"), F.min("row").alias("at")), "counts")
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    chunk_rows = max(chunk_rows, -(-every // MAX_LONG_KEYS))
+    whole = Window.partitionBy("field", "key")
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # keys above one chunk: at most rows / chunk_rows of them, so MAX_LONG_KEYS, and one entry more for each part
+    long_keys = counts.withColumn("of", F.sum("n").over(whole)).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("of") > chunk_rows)
+    found = {(r["part"], r["field"], r["key"]): (r["at"], r["start"]) for r in long_keys.select("part", "field", "key", "at", "start").collect()}
+    drop_cut(counts)
+    states = placed.mapInArrow(_stretches(found, chunk_rows), _STATE)
     names = F.create_map(*[x for i, k in enumerate(keys) for x in (F.lit(str(i)), F.lit(k))])
     return states.withColumn("key_field", names[F.col("key_field")])
 

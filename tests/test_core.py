@@ -1,6 +1,8 @@
 import datetime as dt
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,38 @@ def test_key_summaries(spark):
     assert key_summaries(df.where("false"), ["k"], "v", "t").count() == 0
 
 
+def test_key_summaries_of_split_files(spark):
+    """Files of the cut that are read in many pieces give the same summaries as whole ones."""
+    rng = np.random.default_rng(3)
+    key = np.where(rng.random(60_000) < 0.4, 0, rng.integers(1, 20, 60_000))
+    pdf = pd.DataFrame({"k": key, "v": rng.integers(0, 6, 60_000) / 2, "t": rng.permutation(60_000)})
+    df = spark.createDataFrame(pdf, "k int, v double, t long")
+    whole = sorted(map(tuple, key_summaries(df, ["k"], "v", "t", chunk_rows=700).collect()))
+    small = {"spark.sql.files.maxPartitionBytes": "8192", "spark.sql.files.openCostInBytes": "0", "spark.sql.shuffle.partitions": "3"}
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    was = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        for k in ("parquet.block.size", "parquet.page.size"):
+            hadoop.set(k, "16384")
+        hadoop.set("parquet.page.size.row.check.min", "10")
+        hadoop.set("parquet.page.size.row.check.max", "100")
+        hadoop.set("parquet.block.size.row.check.min", "100")
+        split = sorted(map(tuple, key_summaries(df, ["k"], "v", "t", chunk_rows=700).collect()))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+        for k in ("parquet.block.size", "parquet.page.size", "parquet.page.size.row.check.min", "parquet.page.size.row.check.max", "parquet.block.size.row.check.min"):
+            hadoop.unset(k)
+    assert split == whole
+    order = pdf.sort_values(["k", "t"])
+    for k, g in order.groupby("k"):
+        v = g["v"].to_numpy()
+        row = next(r for r in whole if r[1] == k)
+        assert row[2:4] == (len(v), len(v)) and row[5:7] == (int((np.diff(v) > 0).sum()), v[-1]) and row[8] == (len(v) - 1) // 700
+
+
 def test_pipeline(spark, simple):
     b = topn_builder(PopScorer(), 2, fallback=BiasScorer())
     p = b.build()
