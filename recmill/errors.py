@@ -9,6 +9,10 @@ class FieldError(KeyError):
     """A class has no such attribute or field."""
 
 
+class ConfigError(ValueError):
+    """A setting is missing or cannot be used."""
+
+
 class DataWarning(UserWarning):
     """Data look unusual but can be used."""
 

@@ -11,16 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from recmill.errors import ConfigError
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is empty (tests on one machine) a temporary folder is made,
-    which is removed when the process ends.
+    Only where the setting is empty and everything runs on one machine (tests) a temporary folder is made,
+    which is removed when the process ends. On a cluster without the setting this is an error: executors
+    would each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ConfigError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="recmill-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
