@@ -59,11 +59,11 @@ scored as (select algorithm, user_id, item_id, max(score) + 0::float as score fr
            where algorithm is not null and user_id is not null and item_id is not null and score is not null and not isnan(score)
            group by all)"""
 
-#: The length to which ``list_top_n`` cuts, and RECS in every SQL.
+#: The length to which ``list_top_n`` cuts.
 LENGTH = 20
 
 RECS = f"""{SCORED},
-recs as (select * from (select *, row_number() over (partition by algorithm, user_id order by score desc, item_id)::int as rank from scored) where rank <= {LENGTH})"""
+recs as (select *, row_number() over (partition by algorithm, user_id order by score desc, item_id)::int as rank from scored)"""
 
 
 def recs(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def list_remove(spark, d):
     return li.remove_items(scored(spark, d), tastes(spark, d), ["user_id"]).select(*KEYS, "item_id")
 
 
-@register(f"with {RECS} select algorithm, user_id, item_id, score::double as score, rank from recs")
+@register(f"with {RECS} select algorithm, user_id, item_id, score::double as score, rank from recs where rank <= {LENGTH}")
 def list_top_n(spark, d):
     return recs(spark, d, LENGTH).select(*KEYS, "item_id", F.col("score").cast("double").alias("score"), "rank")
 
