@@ -52,6 +52,6 @@ select 'topn_java_ratings' as table_name, item_a, item_b from b where n_both >=
 union all
 select 'pair_counter_rows', item_a, item_b from k where hits >= 15 and hits * hits_all >= 5 * hits_a * hits_b
 """,
-    "p5_basket_pairs": _WITH + f"select *, round(n_both * n_baskets / (n_a * n_b)::double, 6) as lift, {_odds('n_both', 'n_a', 'n_b', 'n_baskets')} as log_odds from b where n_both >= 2",
+    "p5_basket_pairs": _WITH + f"select *, round(n_both * n_baskets / (n_a * n_b)::double, 6) as lift, {_odds('n_both', 'n_a', 'n_b', 'n_baskets')} as log_odds from b",
     "p5_counter_pairs": _WITH + f"select *, round(hits * hits_all / (hits_a * hits_b)::double, 6) as lift, {_odds('hits', 'hits_a', 'hits_b', 'hits_all')} as log_odds from k",
 }
