@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recmill.models.base import Scorer, TrainingOptions, float_score, known_pairs
+from recmill.operators.pairs import group_pairs, side_pairs
 from recmill.operators.stats import cooccurrence
+from recmill.session import cut
 
 #: Norms are at least this (the smallest normal float32).
 TINY = 1.1754943508222875e-38
@@ -45,18 +47,16 @@ class ItemKNNScorer(Scorer):
 
     def fit(self, log: DataFrame, options: TrainingOptions) -> None:
         explicit = self.config.feedback == "explicit"
-        r = _unit(_ratings(log, explicit), "item_id", explicit)
+        r = cut(_unit(_ratings(log, explicit), "item_id", explicit), "ratings")
         self.tables["ratings"] = r.select("user_id", "item_id", "r")
         self.tables["means"] = r.groupBy("item_id").agg(F.first("m").alias("m"))
-        nz = r.where("u <> 0")
-        a = nz.select("user_id", F.col("item_id").alias("i"), F.col("u").alias("x"))
-        b = nz.select("user_id", F.col("item_id").alias("j"), F.col("u").alias("y"))
-        half = a.join(b, "user_id").where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sim")).where(F.col("sim") >= self.config.min_sim)
+        i, j = F.least("item_id_l", "item_id_r"), F.greatest("item_id_l", "item_id_r")
+        half = group_pairs(r.where("u <> 0"), "user_id", ["item_id", "u"]).groupBy(i.alias("i"), j.alias("j")).agg(F.sum(F.col("u_l") * F.col("u_r")).alias("sim")).where(F.col("sim") >= self.config.min_sim)
         sims = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
         if self.config.save_nbrs:
             w = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
             sims = sims.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= self.config.save_nbrs).drop("_k")
-        self.tables["sims"] = sims
+        self.tables["sims"] = cut(sims, "sims")
 
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Also gives nbr_count. Too few neighbours give null."""
@@ -93,7 +93,7 @@ class UserKNNScorer(Scorer):
 
     def fit(self, log: DataFrame, options: TrainingOptions) -> None:
         explicit = self.config.feedback == "explicit"
-        self.tables["vectors"] = _unit(_ratings(log, explicit), "user_id", explicit).select("user_id", "item_id", "c", "u", "m")
+        self.tables["vectors"] = cut(_unit(_ratings(log, explicit), "user_id", explicit).select("user_id", "item_id", "c", "u", "m"), "vectors")
 
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         explicit, vec = self.config.feedback == "explicit", self.tables["vectors"]
@@ -103,8 +103,8 @@ class UserKNNScorer(Scorer):
         else:
             mine = _unit(_ratings(history, explicit), "user_id", explicit).select("user_id", "item_id", F.col("c").alias("q"), "m")
         other = vec.where("u <> 0").select(F.col("user_id").alias("nbr"), "item_id", "u")
-        sims = mine.where("q <> 0").join(other, "item_id").where("user_id <> nbr").groupBy("user_id", "nbr").agg(F.sum(F.col("q") * F.col("u")).alias("sim")).where(F.col("sim") >= self.config.min_sim)
-        votes = pairs.select("user_id", "item_id").distinct().join(vec.select(F.col("user_id").alias("nbr"), "item_id", "c"), "item_id").join(sims, ["user_id", "nbr"])
+        sims = side_pairs(mine.where("q <> 0"), other, "item_id", ["user_id", "q"], ["nbr", "u"]).where("user_id <> nbr").groupBy("user_id", "nbr").agg(F.sum(F.col("q") * F.col("u")).alias("sim")).where(F.col("sim") >= self.config.min_sim)
+        votes = side_pairs(pairs.select("user_id", "item_id").distinct(), vec.select(F.col("user_id").alias("nbr"), "item_id", "c"), "item_id", ["user_id"], ["nbr", "c"]).join(sims, ["user_id", "nbr"])
         w = Window.partitionBy("user_id", "item_id").orderBy(F.desc("sim"), "nbr")
         best = votes.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= self.config.max_nbrs)
         value = F.sum(F.col("sim") * F.col("c")) / F.sum("sim") if explicit else F.sum("sim")
@@ -140,7 +140,7 @@ class AssociationScorer(Scorer):
         if self.config.method == "lift":
             users = d.agg(F.count_distinct("user_id").alias("n_users"))
             rule = rule.join(n.select(F.col("item_id").alias("item_b"), F.col("n").alias("nb")), "item_b").crossJoin(F.broadcast(users)).withColumn("v", F.col("v") * F.col("n_users") / (F.col("nb") + k))
-        self.tables |= {"rules": rule.select(F.col("item_a").alias("ref"), F.col("item_b").alias("item_id"), "v"), "items": n.select("item_id"), "history": d}
+        self.tables |= {"rules": cut(rule.select(F.col("item_a").alias("ref"), F.col("item_b").alias("item_id"), "v"), "rules"), "items": n.select("item_id"), "history": d}
 
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         past = known_pairs(history).select("user_id", "item_id").distinct() if history is not None else self.tables["history"]

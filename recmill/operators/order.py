@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recmill.operators.pairs import join_groups
 from recmill.session import cut
 
 
@@ -24,14 +25,14 @@ def _offsets(placed: DataFrame, total) -> DataFrame:
 def number_rows(df: DataFrame, *order, name: str = "num", start: int = 0) -> DataFrame:
     """Dense numbers from ``start`` in the order of ``order``, which should be total."""
     placed = _in_files(df, list(order))
-    return placed.join(_offsets(placed, F.count("*")), "_part").withColumn(name, (F.col("_before") + F.col("_row") + start).cast("long")).drop("_part", "_row", "_before")
+    return placed.join(F.broadcast(_offsets(placed, F.count("*"))), "_part").withColumn(name, (F.col("_before") + F.col("_row") + start).cast("long")).drop("_part", "_row", "_before")
 
 
 def running_sum(df: DataFrame, *order, value: str, name: str) -> DataFrame:
     """Inclusive running sum of ``value`` in the order of ``order``."""
     placed = _in_files(df, list(order))
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
-    return placed.join(_offsets(placed, F.sum(value)), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_row", "_before")
+    return placed.join(F.broadcast(_offsets(placed, F.sum(value))), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_row", "_before")
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -40,6 +41,17 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(counts.select(value, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name)), value, "left")
 
 
+def group_medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): exact median of ``value``, which has no nulls, for every group. All rows are numbered in the order
+    of (keys, value), so a group's middle is at known numbers; no group is sorted or held in one task."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    d = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.struct(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit(0).alias("_")).alias("_g"), F.col(value).alias("_v"))
+    placed = cut(number_rows(d, *names, "_v", name="_at"), "placed")
+    groups = cut(placed.groupBy("_g").agg(F.min("_at").alias("_lo"), F.count("*").alias("_n")), "groups")
+    middle = join_groups(placed.select("_g", "_v", "_at"), groups, ["_g"], "_n").where(F.col("_at").between(F.col("_lo") + F.expr("(_n - 1) div 2"), F.col("_lo") + F.expr("_n div 2")))
+    return middle.groupBy("_g").agg(F.avg("_v").alias(name)).select(*[F.col(f"_g.{n}").alias(k) for k, n in zip(keys, names, strict=True)], name)
+
+
 def _kth(df: DataFrame, column: str, k: int, lo: int, hi: int, slots: int = 4096) -> int:
     """k-th smallest (from 0) of a bigint column by counting in ever narrower slots."""
     while lo < hi:

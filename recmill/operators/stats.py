@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recmill.operators.order import group_medians
+from recmill.operators.pairs import group_pairs
+
 
 def row_count(df: DataFrame, count: str = "count") -> Column:
     """What a row counts: the count attribute, null being 1, or 1."""
@@ -32,9 +35,10 @@ def interaction_count(df: DataFrame) -> DataFrame:
 
 def entity_stats(entities: DataFrame, matrix: DataFrame, key: str, other: str) -> DataFrame:
     """Per entity of ``entities(key)``: record_count, count, <other>_count, and rating and time statistics of the
-    coalesced ``matrix``; entities that never occur have zero counts, a null mean and null times."""
+    coalesced ``matrix``, which has one row per (key, other); entities that never occur have zero counts, a null
+    mean and null times."""
     name = other.removesuffix("_id") + "_count"
-    aggs = [F.count("*").alias("record_count"), F.sum(row_count(matrix)).alias("count"), F.count_distinct(other).alias(name)]
+    aggs = [F.count("*").alias("record_count"), F.sum(row_count(matrix)).alias("count"), F.count(other).alias(name)]
     if "rating" in matrix.columns:
         aggs += [F.count("rating").alias("rating_count"), F.avg("rating").alias("mean_rating")]
     if "timestamp" in matrix.columns:
@@ -45,10 +49,10 @@ def entity_stats(entities: DataFrame, matrix: DataFrame, key: str, other: str) -
 
 
 def cooccurrence(df: DataFrame, group: str, item: str, diagonal: bool = False) -> DataFrame:
-    """Symmetric (item_a, item_b, n): in how many groups both occur. Pairs are made once (a < b), counted before
-    the shuffle's end, and mirrored afterwards; the diagonal holds each item's groups."""
+    """Symmetric (item_a, item_b, n): in how many groups both occur. Pairs are made once (a < b), hot groups in many
+    tasks, counted before the shuffle and mirrored afterwards; the diagonal holds each item's groups."""
     d = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    half = d.select("g", F.col("i").alias("item_a")).join(d.select("g", F.col("i").alias("item_b")), "g").where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("n"))
+    half = group_pairs(d, "g", ["i"]).select(F.least("i_l", "i_r").alias("item_a"), F.greatest("i_l", "i_r").alias("item_b")).groupBy("item_a", "item_b").agg(F.count("*").alias("n"))
     out = half.unionByName(half.select(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "n"))
     if diagonal:
         out = out.unionByName(d.groupBy("i").agg(F.count("*").alias("n")).select(F.col("i").alias("item_a"), F.col("i").alias("item_b"), "n"))
@@ -57,18 +61,26 @@ def cooccurrence(df: DataFrame, group: str, item: str, diagonal: bool = False) -
 
 def ordered_cooccurrence(df: DataFrame, group: str, item: str, order: Sequence[str]) -> DataFrame:
     """(item_a, item_b, n): how often b comes anywhere after a in a group; equal order values are told apart by the
-    later columns of ``order``."""
-    d = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i"), *[F.col(o).alias(f"o{j}") for j, o in enumerate(order)])
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*[f"o{j}" for j in range(len(order))], "i"))).select("g", "i", "r")
-    later = d.select("g", F.col("i").alias("item_b"), F.col("r").alias("rb"))
-    return d.withColumnRenamed("i", "item_a").join(later, "g").where("r < rb").groupBy("item_a", "item_b").agg(F.count("*").alias("n"))
+    later columns of ``order``, then by the item. No group is sorted: a pair's own order values say which is first."""
+    names = [f"o{j}" for j in range(len(order))]
+    d = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i"), *[F.col(o).alias(n) for o, n in zip(order, names, strict=True)])
+    d = d.groupBy("g", *names, "i").agg(F.count("*").alias("c"))
+    at = lambda side: F.struct(*[F.col(f"{n}_{side}").alias(n) for n in (*names, "i")])
+    first = at("l") < at("r")
+    pairs = group_pairs(d, "g", [*names, "i", "c"]).select(F.when(first, F.col("i_l")).otherwise(F.col("i_r")).alias("item_a"), F.when(first, F.col("i_r")).otherwise(F.col("i_l")).alias("item_b"), (F.col("c_l") * F.col("c_r")).alias("n"))
+    alike = d.where("c > 1").select(F.col("i").alias("item_a"), F.col("i").alias("item_b"), F.expr("c * (c - 1) div 2").alias("n"))
+    return pairs.unionByName(alike).groupBy("item_a", "item_b").agg(F.sum("n").alias("n"))
 
 
 def value_stats(df: DataFrame, value: str, keys: Sequence[str] = (), sample_std: bool = False) -> DataFrame:
     """n, mean, median and standard deviation of the values that are neither null nor NaN."""
+    keys = list(keys)
     v = F.nanvl(F.col(value).cast("double"), F.lit(None))
     std = F.stddev_samp(v) if sample_std else F.stddev_pop(v)
-    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), std.alias("std"))
+    out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), std.alias("std"))
+    middle = group_medians(df.select(*keys, v.alias("_v")).where("_v is not null"), keys, "_v", "median")
+    joined = out.join(F.broadcast(middle), how="left") if not keys else out.alias("o").join(middle.alias("m"), [F.col(f"o.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys], "left").select("o.*", "m.median")
+    return joined.select(*keys, "n", "mean", "median", "std")
 
 
 def explode_list(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
