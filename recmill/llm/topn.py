@@ -4,7 +4,8 @@ Score and identifier are packed into one order-preserving 64-bit code, so ties h
 items of a group are equal. Every group looks for the code above which exactly N of its rows lie: in
 each round the rows that are still in question are counted above the midpoints of their group's
 interval, for all groups at once, and the interval shrinks to the part that holds the cutoff. Only
-counts are shuffled, at most 256 for each open group and map task; no group is ever sorted or collected.
+counts are shuffled, at most 256 for each open group and map task. Rows meet their group's interval by a
+broadcast of the groups, or of the hot ones among them (``join_groups``), so no hot group is sorted or collected.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType, LongType
 
+from recmill.operators.pairs import join_groups
 from recmill.session import cut
 
 #: Bits that one round decides: 2 ** BITS - 1 midpoints.
@@ -42,27 +44,28 @@ def code_score(code: pd.Series) -> pd.Series:
 
 
 def cutoffs(coded: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, cutoff): the rows of ``coded(keys, code, n)`` with code >= cutoff are the n greatest of their group.
+    """(keys, cutoff, c): the rows of ``coded(keys, code, n)`` with code >= cutoff are the n greatest of their
+    group; c is the group's size.
 
     Codes must be distinct within a group. n null or negative means all. Groups with n = 0 have no cutoff.
     """
     keys = list(keys)
     start = coded.groupBy(*keys).agg(F.first("n").alias("n"), F.count("*").alias("c"), F.min("code").alias("lo"), F.max("code").alias("hi"))
     start = cut(start, "groups")
-    closed = start.where("n is null or n < 0 or c <= n").select(*keys, F.col("lo").alias("cutoff"))
-    active = start.where("n > 0 and c > n").select(*keys, F.col("n").alias("need"), "lo", "hi")
+    closed = start.where("n is null or n < 0 or c <= n").select(*keys, F.col("lo").alias("cutoff"), "c")
+    active = start.where("n > 0 and c > n").select(*keys, F.col("n").alias("need"), "lo", "hi", "c", F.col("c").alias("size"))
     done = [closed]
     while not active.isEmpty():
         # within [lo, hi] the codes agree above their highest differing bit; the next BITS bits make the parts
         s = F.greatest(F.length(F.bin(F.col("lo").bitwiseXOR(F.col("hi")))) - BITS, F.lit(0))
-        rows = coded.select(*keys, "code").join(active.withColumn("s", s), keys).where("code between lo and hi")
+        rows = join_groups(coded.select(*keys, "code"), active.drop("c").withColumn("s", s), keys, "size").where("code between lo and hi")
         part = F.expr(f"cast(shiftrightunsigned(code ^ {-(2**63)}L, s) & {2**BITS - 1} as int)")
-        counts = rows.groupBy(*keys, part.alias("part")).agg(F.first("need").alias("need"), F.count("*").alias("c"), F.min("code").alias("lo"), F.max("code").alias("hi"))
+        counts = rows.groupBy(*keys, part.alias("part")).agg(F.first("need").alias("need"), F.first("size").alias("size"), F.count("*").alias("c"), F.min("code").alias("lo"), F.max("code").alias("hi"))
         w = Window.partitionBy(*keys).orderBy(F.desc("part"))
         counts = counts.withColumn("through", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("need", F.col("need") - (F.col("through") - F.col("c")))
-        hit = cut(counts.where("need > 0 and need <= c").select(*keys, "need", "c", "lo", "hi"), "round")
-        done.append(hit.where("need = c").select(*keys, F.col("lo").alias("cutoff")))
-        active = hit.where("need < c").select(*keys, "need", "lo", "hi")
+        hit = cut(counts.where("need > 0 and need <= c").select(*keys, "need", "size", "c", "lo", "hi"), "round")
+        done.append(hit.where("need = c").select(*keys, F.col("lo").alias("cutoff"), F.col("size").alias("c")))
+        active = hit.where("need < c").select(*keys, "need", "lo", "hi", "c", "size")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -83,6 +86,6 @@ def top_n(rows: DataFrame, keys: Sequence[str], item: str, score: str, n: str) -
         known = known.where(F.col(k).isNotNull())
     best = known.select(*keys, F.col(item).cast("int").alias("_i"), rank_code(F.col(score).cast("float"), F.col(item).cast("int")).alias("code"), F.col(n).alias("n")).groupBy(*keys, "_i").agg(F.max("code").alias("code"), F.first("n").alias("n"))
     coded = cut(best.select(*keys, "code", "n"), "codes")
-    at = cutoffs(coded, keys)
-    kept = coded.join(at, keys).where("code >= cutoff")
+    at = cut(cutoffs(coded, keys), "cutoffs")
+    kept = join_groups(coded.select(*keys, "code"), at, keys, "c").where("code >= cutoff")
     return kept.select(*keys, code_item(F.col("code")).alias(item), code_score("code").alias(score))
