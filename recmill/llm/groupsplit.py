@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recmill.operators.pairs import group_pairs, join_groups
 from recmill.operators.skew import prefix_sum
 from recmill.session import cut, drop_cut
 
@@ -24,6 +25,8 @@ STAND_INS = ["", "none", "null", "nil", "na", "nan", "unknown", "undefined", "mi
 MIN_SHARED_EVENTS = 5
 #: Groups above this share of all rows are placed one by one (there are fewer than its inverse of them).
 LARGE_GROUP_SHARE = 0.001
+#: Distinct labels that splits are stratified by, at most; more are refused.
+MAX_LABELS = 10_000
 
 
 def plain_handle(c: Column) -> Column:
@@ -48,7 +51,8 @@ def shared_event_pairs(events: DataFrame, user: str, event: Sequence[str], at_le
     ranked = shared.withColumn("m", F.count("*").over(per_user)).where(F.col("m") >= at_least).withColumn("r", F.row_number().over(per_user.orderBy(F.desc("n"), "k"))).select("u", "k", "r")
     ranked = cut(ranked, "shared")
     rare, wide = ranked.where(F.col("r") >= at_least), ranked.where(F.col("r") < at_least)
-    pairs = rare.select(F.col("u").alias("a"), "k").join(rare.select(F.col("u").alias("b"), "k"), "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
+    # an event that many users share is a hot group, whose pairs are made in many tasks
+    pairs = group_pairs(rare, "k", ["u"]).groupBy(F.least("u_l", "u_r").alias("a"), F.greatest("u_l", "u_r").alias("b")).agg(F.count("*").alias("c"))
     pairs = cut(pairs, "pairs")
     done, open_ = pairs.where(F.col("c") >= at_least).select("a", "b"), pairs.where(F.col("c") < at_least)
     wa, wb = wide.select(F.col("u").alias("a"), "k"), wide.select(F.col("u").alias("b"), "k")
@@ -75,17 +79,19 @@ def min_labels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     e = edges.where("record is not null and entity is not null").distinct()
     lone = e.groupBy("entity").agg(F.min("record").alias("x"), F.max("record").alias("y")).where("x = y")
     e = cut(e.join(lone, "entity", "left_anti"), "edges")
-    labels = cut(e.groupBy("record").agg(F.min("record").alias("label")), "labels")
+    labels = cut(e.groupBy("record").agg(F.min("record").alias("label"), F.count("*").alias("d")), "labels")
     for _ in range(max_rounds):
-        least = e.join(labels, "record").groupBy("entity").agg(F.min("label").alias("l"))
-        near = e.join(least, "entity").groupBy("record").agg(F.min("l").alias("l"))
+        # an entity with very many records, or a record with very many entities, is never brought into one task
+        least = cut(join_groups(e, labels, ["record"], "d").groupBy("entity").agg(F.min("label").alias("l"), F.count("*").alias("n")), "least")
+        near = join_groups(e, least, ["entity"], "n").groupBy("record").agg(F.min("l").alias("l"), F.count("*").alias("d"))
         far = labels.select(F.col("record").alias("l"), F.col("label").alias("jump"))
-        new = cut(near.join(far, "l", "left").select("record", F.least("l", F.coalesce("jump", "l")).alias("label")), "labels")
+        new = cut(near.join(far, "l", "left").select("record", F.least("l", F.coalesce("jump", "l")).alias("label"), "d"), "labels")
         changed = not new.join(labels, "record").where(new.label != labels.label).isEmpty()
         drop_cut(labels)
+        drop_cut(least)
         labels = new
         if not changed:
-            return labels
+            return labels.select("record", "label")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
@@ -129,7 +135,9 @@ def assign_splits(rows: DataFrame, group: str, label: str, shares: dict[str, flo
     total = groups.agg(F.sum("size")).first()[0] or 0
     large = groups.where(F.col("size") > LARGE_GROUP_SHARE * total)
     found = cells.join(large.select("g"), "g", "left_semi").collect()  # at most 1 / LARGE_GROUP_SHARE groups by the labels
-    labels = cells.groupBy("l").agg(F.sum("n").alias("n")).collect()
+    labels = cells.groupBy("l").agg(F.sum("n").alias("n")).limit(MAX_LABELS + 1).collect()
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels: stratify by fewer")
     at = {r["l"]: i for i, r in enumerate(labels)}
     per_label = np.array([r["n"] for r in labels], float)
     ids = sorted({r["g"] for r in found})
