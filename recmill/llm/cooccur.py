@@ -2,8 +2,8 @@
 
 Baskets become 64-bit codes of item pairs. Tasks sort the codes of a bounded buffer and write the run
 out as (code, count); Spark's shuffle spills and merges the runs, so that equal codes lie beside each
-other, and a run-length pass adds them up. Large baskets are cut into blocks and every pair of blocks
-is a piece of work of its own.
+other, and a run-length pass adds them up. Large baskets are cut into blocks; every pair of blocks is a
+join key of its own, so the pairs of one basket are made in as many tasks as it has pairs of blocks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recmill.operators.pairs import small_side
+from recmill.session import cut, drop_cut
+
 #: Items in a block of a basket; a piece of work makes at most about the square of it pairs.
 BLOCK = 512
 #: Codes in a task's buffer before it is sorted and written out as a run.
@@ -93,17 +96,21 @@ def basket_pairs(pairs: DataFrame, basket: str, item: str, min_count: int = 1, m
     are exact. Rows with a null basket or item don't count; repeated rows count once; ids are int32.
     """
     rows = pairs.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(F.col(basket).alias("g"), F.col(item).cast("int").alias("i")).distinct()
-    n_baskets = rows.select("g").distinct().count()
+    rows = cut(rows, "baskets")
+    n_baskets = rows.agg(F.count_distinct("g")).first()[0]
     sizes = rows.groupBy("i").agg(F.count("*").alias("n"))
-    usable = sizes.where((F.col("n") >= min_count) & (F.col("n") * min_lift <= n_baskets))
-    kept = rows.join(usable.select("i"), "i", "left_semi")
+    usable = cut(sizes.where((F.col("n") >= min_count) & (F.col("n") * min_lift <= n_baskets)), "items")
+    kept = rows.join(small_side(usable.select("i")), "i", "left_semi")
     # pieces of a basket by hash, so that no basket has to be brought together to be divided
     pieces = kept.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("k > 1")
-    cutup = kept.join(pieces, "g", "left").select("g", "i", F.coalesce(F.pmod(F.xxhash64("i"), F.col("k").cast("long")).cast("int"), F.lit(0)).alias("b"), F.coalesce("k", F.lit(1)).alias("k"))
-    blocks = cutup.groupBy("g", "b").agg(F.collect_list("i").alias("x"), F.first("k").alias("k"))
+    cutup = kept.join(small_side(pieces), "g", "left").select("g", "i", F.coalesce(F.pmod(F.xxhash64("i"), F.col("k").cast("long")).cast("int"), F.lit(0)).alias("b"), F.coalesce("k", F.lit(1)).alias("k"))
+    blocks = cut(cutup.groupBy("g", "b").agg(F.collect_list("i").alias("x"), F.first("k").alias("k")), "blocks")
+    drop_cut(rows)
     inside = blocks.select(F.col("x").alias("left"), F.array().cast("array<int>").alias("right"), F.lit(True).alias("same"))
     many = blocks.where("k > 1")
-    across = many.select("g", F.col("b").alias("b1"), F.col("x").alias("left")).join(many.select("g", F.col("b").alias("b2"), F.col("x").alias("right")), "g").where("b1 < b2")
+    left = many.where("b < k - 1").select("g", F.col("b").alias("b1"), F.explode(F.sequence(F.col("b") + 1, F.col("k") - 1)).alias("b2"), F.col("x").alias("left"))
+    right = many.where("b > 0").select("g", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("b1"), F.col("b").alias("b2"), F.col("x").alias("right"))
+    across = left.join(right, ["g", "b1", "b2"])
     work = inside.unionByName(across.select("left", "right", F.lit(False).alias("same")))
     a, b = code_pair(F.col("code"))
     both = merge_runs(work.mapInArrow(_runs, "code long, n long")).where(F.col("n") >= min_count).select(a.alias("item_a"), b.alias("item_b"), F.col("n").alias("n_both"))
@@ -126,6 +133,7 @@ def counter_pairs(entries: DataFrame, row: str, col: str, hits: str, min_hits: i
     entries with a null item or of an item with itself are left out, also from the totals.
     """
     e = entries.distinct().where(f"`{row}` is not null and `{col}` is not null and `{row}` <> `{col}`").select(F.col(row).cast("int").alias("r"), F.col(col).cast("int").alias("c"), F.coalesce(F.col(hits).cast("long"), F.lit(1)).alias("h"))
+    e = cut(e, "entries")
     all_hits = e.agg(F.sum("h")).first()[0] or 0
     runs = e.groupBy(pair_code(F.col("r"), F.col("c")).alias("code")).agg(F.sum("h").alias("n"))
     a, b = code_pair(F.col("code"))
