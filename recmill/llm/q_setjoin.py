@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from recmill.llm.setjoin import distinct_sets, expand_pairs, least_threshold, similar_sets
 from recmill.session import cut, table
 
+#: Tasks that may share one search.
+MAX_TASKS = 1_000
+
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     tasks = table(spark, sf_dir, "item_sim_tasks").where("task_id is not null and min_sim is not null")
@@ -15,10 +18,14 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of the least strict task, given to every task that they satisfy (a handful of tasks)."""
+    """The pairs of the least strict task, given to every task that they satisfy."""
     tasks, pairs, copies = _pairs(spark, sf_dir)
-    found = expand_pairs(pairs, copies)
-    return found.join(tasks, found.sim >= tasks.min_sim.cast("double")).select("task_id", F.col("record_a").cast("int").alias("item_a"), F.col("record_b").cast("int").alias("item_b"))
+    given = tasks.select("task_id", F.col("min_sim").cast("double").alias("min_sim")).distinct().limit(MAX_TASKS + 1).collect()
+    if len(given) > MAX_TASKS:
+        raise ValueError(f"more than {MAX_TASKS} tasks")
+    every = F.array(*[F.struct(F.lit(r["task_id"]).alias("task_id"), F.lit(r["min_sim"]).alias("min_sim")) for r in given]) if given else F.array().cast("array<struct<task_id:int,min_sim:double>>")
+    found = expand_pairs(pairs, copies).withColumn("t", F.explode(F.filter(every, lambda t: F.col("sim") >= t["min_sim"])))
+    return found.select("t.task_id", F.col("record_a").cast("int").alias("item_a"), F.col("record_b").cast("int").alias("item_b"))
 
 
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
-"""Problem 4: all pairs of records whose sets overlap at least so much, by banded minhash.
-
-Each set has a minhash signature of fixed depth in every one of many independent trees. The depth's minima
-are folded into one 64-bit prefix, and records with an equal prefix in a tree are neighbours. Nothing is
-ordered lexicographically and no prefix deepens: ``plan_forest`` sets depth and number of trees from the
-threshold. At depth d a pair of similarity s meets in a tree with probability s ** d, so it is missed by
-all of T trees with (1 - s ** d) ** T. Neighbours are verified on
-the sets themselves.
+"""Problem 4: all pairs of records whose sets overlap at least so much, by sorted sketch forests.
+
+A forest has many independent trees. In each, a set's minhash signature is a sequence of levels, and the
+sets are ordered lexicographically by it; sets with a common prefix lie beside each other. A pair of
+similarity s shares the first d levels of a tree with probability s ** d. Neighbourhoods begin at a depth
+that the threshold sets (``plan_forest``). One that holds more than CROWD sets deepens: it is divided by
+the next level, and again, down to DEEPER levels below its start. A set keeps account of the depths at which
+its neighbours were compared with it, that is of the chance that a partner exactly at the threshold was missed
+by all trees so far; sets for which it is still above 1 - target, because their neighbourhoods were crowded, go
+through further trees, among themselves, until none is left. A neighbourhood that is crowded at its deepest
+is compared whole, in blocks over many tasks. All neighbours are verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -18,34 +21,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recmill.session import cut
+from recmill.operators.pairs import group_pairs, join_groups
+from recmill.session import cut, drop_cut
 
 #: Chance that a pair exactly at the threshold is found.
 TARGET_RECALL = 0.9995
 #: Chance that an unrelated pair of similarity UNRELATED meets in a tree, at most; sets the depth.
 UNRELATED, MEETS = 0.1, 1e-4
+#: Sets in a neighbourhood above which it deepens, and the levels that it can deepen by.
+CROWD, DEEPER = 64, 2
+#: Bits of a level in a key; LEVEL_BITS times the levels is at most 63.
+LEVEL_BITS = 9
+#: Share of trees above the least number, so that a few crowded neighbourhoods don't call for another round.
+SPARE = 0.05
+#: Base in which an account packs a depth and a number of neighbours.
+SEEN = 1 << 40
+#: Rows of one neighbourhood that a task holds before it deepens without having seen its end.
+HELD = 1_000_000
 
 
 def plan_forest(min_sim: float, target: float = TARGET_RECALL) -> tuple[int, int]:
-    """(depth, trees) for a threshold."""
+    """(depth at which neighbourhoods begin, trees) for a threshold."""
     depth = max(1, math.ceil(math.log(MEETS) / math.log(UNRELATED)))
     while depth > 1 and min_sim**depth < 0.05:
         depth -= 1
     p = min_sim**depth
-    return depth, 1 if p >= 1 else max(1, math.ceil(math.log(1 - target) / math.log(1 - p)))
+    return depth, 1 if p >= 1 else max(1, math.ceil((1 + SPARE) * math.log(1 - target) / math.log(1 - p)))
+
+
+def _log_miss(min_sim: float, depth: int) -> float:
+    """Logarithm of the chance that a pair at the threshold doesn't share ``depth`` levels of a tree."""
+    return math.log1p(-min(min_sim**depth, 1 - 1e-12))
 
 
-def _mix(x: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit finaliser of x under a seed."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    """32-bit finaliser."""
     with np.errstate(over="ignore"):
-        z = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) & (2**64 - 1))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+        z = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+        z = (z ^ (z >> np.uint32(15))) * np.uint32(0x846CA68B)
+        return z ^ (z >> np.uint32(16))
 
 
-def _sketches(depth: int, trees: int):
-    """Arrow function: (id, n, members) in; (tree, prefix, id, n) for every tree out."""
+def _sketches(first: int, trees: int, start: int, deepest: int, pieces: int, slots: int):
+    """Arrow function: (id, n, members) in; (slot, tree, key, id, n) for every tree out.
+
+    A key holds the levels, the first in its highest bits. Slots are ranges of (tree, first ``start``
+    levels): whole trees, or ``pieces`` equal ranges of a tree, as levels are evenly spread hashes.
+    """
+    draw = np.random.default_rng([7, first])
+    factor = draw.integers(0, 2**32, (trees, deepest), dtype=np.uint32) | np.uint32(1)
+    shift = draw.integers(0, 2**32, (trees, deepest), dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -53,65 +78,131 @@ def _sketches(depth: int, trees: int):
                 continue
             members = b.column("members")
             starts = members.offsets.to_numpy()[:-1] - members.offsets.to_numpy()[0]
-            base = _mix(members.flatten().to_numpy(zero_copy_only=False), 0)
+            m = members.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            base = _mix(_mix((m & np.uint64(0xFFFFFFFF)).astype(np.uint32)) ^ (m >> np.uint64(32)).astype(np.uint32))
             ids, n = b.column("id"), b.column("n")
             for t in range(trees):
-                prefix = np.zeros(len(starts), np.uint64)
-                for level in range(depth):
-                    least = np.minimum.reduceat(_mix(base, 1 + t * depth + level), starts)
-                    prefix = _mix(prefix ^ least, 7)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), t, np.int16)), pa.array(prefix.view(np.int64)), ids, n], names=["tree", "prefix", "id", "n"])
+                key = np.zeros(len(starts), np.int64)
+                for level in range(deepest):
+                    with np.errstate(over="ignore"):
+                        least = np.minimum.reduceat((base ^ shift[t, level]) * factor[t, level], starts)
+                    key = (key << LEVEL_BITS) | (_mix(least) >> np.uint32(32 - LEVEL_BITS)).astype(np.int64)
+                head = key >> (LEVEL_BITS * (deepest - start))
+                slot = np.full(len(starts), t * slots // trees) if pieces == 1 else t * pieces + head * pieces // (1 << (LEVEL_BITS * start))
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(np.full(len(starts), t, np.int16)), pa.array(key), ids, n], names=["slot", "tree", "key", "id", "n"])
 
     return run
 
 
-def _neighbours(min_sim: float):
-    """Arrow function: rows ordered by (tree, prefix, n) in; pairs of neighbours whose sizes permit min_sim out.
+def _same(key: np.ndarray, tree: np.ndarray, drop_levels: int) -> np.ndarray:
+    """Where a row shares all but ``drop_levels`` levels with the row before it."""
+    k = key >> (LEVEL_BITS * drop_levels)
+    return np.append(False, (k[1:] == k[:-1]) & (tree[1:] == tree[:-1]))
 
-    Rows of a prefix are held only as far back as the sizes permit a pair; the sizes ascend, so the rest can go.
+
+def _neighbours(min_sim: float, start: int, deepest: int):
+    """Arrow function: rows ordered by (tree, key) in; (what, a, b) out.
+
+    what 0: a pair of neighbours whose sizes permit min_sim. what 1: set a shared the start of a tree with
+    b % SEEN others, and was compared at depth b // SEEN. what -1 - tree: set a is in the crowd that shares the whole key b in that tree.
     """
+    levels = range(start, deepest + 1)
+
+    def compared(tree, key, ids, n, floors: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        """``floors`` (tree, prefix, depth): rows that continue a crowded prefix begin at no less than that depth."""
+        size = len(key)
+        depth, run_of = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        low = np.zeros(size, np.int64)
+        for t, prefix, d in floors:
+            on = (tree == t) & (key >> (LEVEL_BITS * (deepest - d + 1)) == prefix)
+            low[on] = np.maximum(low[on], d)
+        for d in levels:
+            run = np.cumsum(~_same(key, tree, deepest - d)) - 1
+            many = np.bincount(run)[run]
+            if d == start:
+                others = many - 1
+            now = (depth == 0) & (many <= CROWD) & (d >= low)
+            depth[now], run_of[now] = d, run[now] * (deepest + 2) + d
+        crowd = depth == 0
+        out = []
+        if crowd.any():
+            out.append((np.full(crowd.sum(), -1, np.int64) - tree[crowd].astype(np.int64), ids[crowd], key[crowd]))
+            depth[crowd] = deepest
+        shared = others > 0
+        if shared.any():
+            out.append((np.ones(shared.sum(), np.int64), ids[shared], depth[shared] * SEEN + others[shared]))
+        at = np.flatnonzero(~crowd)
+        run = run_of[at]
+        k = 1
+        left = np.arange(len(at))
+        while True:
+            left = left[left + k < len(at)]
+            left = left[run[left] == run[left + k]]
+            if not len(left):
+                break
+            x, y = at[left], at[left + k]
+            fit = np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * min_sim
+            x, y = x[fit], y[fit]
+            out.append((np.zeros(len(x), np.int64), np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+            k += 1
+        for what, a, b in out:
+            yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["what", "a", "b"])
+
+    def continued(tree: int, key: int, to: int) -> list[tuple[int, int, int]]:
+        """Floors for rows that go on after a cut at a change of level ``to``: all shorter prefixes are crowded."""
+        return [(tree, key >> (LEVEL_BITS * (deepest - d + 1)), d) for d in range(start + 1, to + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, key, held_id, held_n = set(), None, [], []
-        left, right = [], []
-        for b in batches:
-            tree, prefix, ids, n = (b.column(i).to_pylist() for i in range(4))
-            for t, p, i, m in zip(tree, prefix, ids, n, strict=True):
-                if (t, p) != key:
-                    key, held_id, held_n = (t, p), [], []
-                else:
-                    drop = 0
-                    while drop < len(held_n) and held_n[drop] < m * min_sim:
-                        drop += 1
-                    if drop:
-                        del held_id[:drop], held_n[:drop]
-                    for o in held_id:
-                        pair = (o, i) if o < i else (i, o)
-                        if pair not in seen:
-                            seen.add(pair)
-                            left.append(pair[0])
-                            right.append(pair[1])
-                    if len(seen) > 500_000:
-                        seen = set()
-                held_id.append(i)
-                held_n.append(m)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-                left, right = [], []
+        held, floors = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "key", "id", "n")]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            # the last neighbourhood may go on in the next batch; a very long one is cut where a deeper level changes
+            for d in levels if len(held[0]) > HELD else (start,):
+                edge = np.flatnonzero(~_same(held[1], held[0], deepest - d))[-1]
+                if edge > 0:
+                    yield from compared(*[x[:edge] for x in held], floors)
+                    held = [x[edge:] for x in held]
+                    floors = [f for f in floors if held[0][0] == f[0] and held[1][0] >> (LEVEL_BITS * (deepest - f[2] + 1)) == f[1]] + continued(int(held[0][0]), int(held[1][0]), d)
+                    break
+            else:
+                if len(held[0]) > HELD:  # one crowd down to the deepest level
+                    floors = floors + continued(int(held[0][0]), int(held[1][0]), deepest + 1)
+                    yield from compared(*held, floors)
+                    held = None
+        if held is not None:
+            yield from compared(*held, floors)
 
     return run
 
 
 def distinct_sets(df: DataFrame, record: str, members: str) -> tuple[DataFrame, DataFrame]:
     """(sets, copies): ``sets(id, n, members)`` has each distinct non-empty set once, under the least id of its
-    records; ``copies(id, record)`` has the records of every set."""
+    records; ``copies(id, record)`` has the records of every set. Sets are equal if the SHA-256 of their
+    sorted members is."""
     m = F.array_sort(F.array_distinct(F.filter(F.col(members).cast("array<bigint>"), lambda x: x.isNotNull())))
     rows = df.where(F.col(record).isNotNull() & F.col(members).isNotNull()).select(F.col(record).cast("long").alias("record"), m.alias("members")).where(F.size("members") > 0)
-    keyed = rows.withColumn("h", F.xxhash64("members")).withColumn("h2", F.hash("members"))
-    first = keyed.groupBy("h", "h2").agg(F.min("record").alias("id"))
-    keyed = cut(keyed.join(first, ["h", "h2"]).select("id", "record", "members"), "sets")
-    sets = keyed.where("record = id").select("id", F.size("members").alias("n"), "members")
-    return sets, keyed.select("id", "record")
+    keyed = cut(rows.withColumn("h", F.unhex(F.sha2(F.array_join(F.col("members").cast("array<string>"), ","), 256))), "hashed")
+    first = cut(keyed.groupBy("h").agg(F.min("record").alias("id"), F.count("*").alias("c")), "first")
+    named = cut(join_groups(keyed, first, ["h"], "c").select("id", "record", F.when(F.col("record") == F.col("id"), F.col("members")).alias("members")), "sets")
+    drop_cut(keyed)
+    drop_cut(first)
+    # a record that is stored twice with the same set is one copy
+    sets = named.where("record = id").dropDuplicates(["id"]).select("id", F.size("members").alias("n"), "members")
+    return sets, named.select("id", "record").distinct()
+
+
+def _forest(sets: DataFrame, min_sim: float, first: int, trees: int, start: int, deepest: int) -> DataFrame:
+    """What the trees from number ``first`` on find: (what, a, b) as of :func:`_neighbours`."""
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    pieces = max(1, parts // trees)
+    slots = trees * pieces if pieces > 1 else min(parts, trees)
+    # minhash is worth spreading out even where the input is one small file
+    rows = sets.repartition(parts, "id").select("id", "n", "members").mapInArrow(_sketches(first, trees, start, deepest, pieces, slots), "slot int, tree short, key long, id long, n int")
+    ordered = rows.repartitionById(slots, "slot").sortWithinPartitions("tree", "key", "n", "id")
+    return ordered.select("tree", "key", "id", "n").mapInArrow(_neighbours(min_sim, start, deepest), "what long, a long, b long")
 
 
 def similar_sets(sets: DataFrame, min_sim: float, target: float = TARGET_RECALL) -> DataFrame:
@@ -122,11 +213,27 @@ def similar_sets(sets: DataFrame, min_sim: float, target: float = TARGET_RECALL)
     """
     if not 0 < min_sim <= 1:
         raise ValueError("min_sim must be above 0 and at most 1")
-    depth, trees = plan_forest(min_sim, target)
-    # minhash is worth spreading out even where the input is one small file
-    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = sets.repartition(parts, "id").select("id", "n", "members").mapInArrow(_sketches(depth, trees), "tree short, prefix long, id long, n int")
-    close = rows.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix", "n", "id").mapInArrow(_neighbours(min_sim), "a long, b long").distinct()
+    start, trees = plan_forest(min_sim, target)
+    deepest, goal, first, todo, before, found = min(start + DEEPER, 63 // LEVEL_BITS), math.log(1 - target) + 1e-9, 0, sets, None, None
+    while True:
+        got = cut(_forest(todo, min_sim, first, trees, start, deepest), "forest")
+        crowds = group_pairs(got.where("what < 0").select(F.struct("what", "b").alias("g"), F.col("a").alias("i")), "g", ["i"])
+        near = got.where("what = 0").select("a", "b").unionByName(crowds.select(F.least("i_l", "i_r").alias("a"), F.greatest("i_l", "i_r").alias("b")))
+        found = near if found is None else found.unionByName(near)
+        # how a set's neighbours, each counting alike, were compared says how a partner would be: at depth d with
+        # chance min_sim ** d in a tree; the logarithms of missing it add up over the rounds
+        depth, others = F.expr(f"b div {SEEN}"), F.expr(f"b % {SEEN}")
+        told = got.where("what = 1").groupBy(F.col("a").alias("id")).agg(F.max(depth).alias("deepest"), (F.sum(others * F.pow(F.lit(min_sim), depth)) / F.sum(others)).alias("p"))
+        p = F.coalesce("p", F.lit(min_sim**start)) if before is not None else F.col("p")
+        told = told.join(before, "id", "right") if before is not None else told.where(F.col("deepest") > start).withColumn("miss", F.lit(0.0))
+        miss = told.select("id", (F.col("miss") + trees * F.log1p(-F.least(p, F.lit(1 - 1e-12)))).alias("miss"))
+        before = cut(miss.where(F.col("miss") > goal), "open")
+        worst = before.agg(F.max("miss")).first()[0]
+        if worst is None:
+            break
+        first, trees = first + trees, max(1, math.ceil((worst - goal) / -_log_miss(min_sim, deepest)))
+        todo = sets.join(before.select("id"), "id", "left_semi")
+    close = found.distinct()
     x, y = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     checked = close.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("all"))
@@ -148,7 +255,7 @@ def expand_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     within a class (similarity 1)."""
     l, r = copies.select(F.col("id").alias("a"), F.col("record").alias("ra")), copies.select(F.col("id").alias("b"), F.col("record").alias("rb"))
     across = pairs.join(l, "a").join(r, "b").select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"), "sim")
-    inside = l.join(r.withColumnRenamed("b", "a"), "a").where("ra < rb").select(F.col("ra").alias("record_a"), F.col("rb").alias("record_b"), F.lit(1.0).alias("sim"))
+    inside = group_pairs(copies, "id", ["record"]).select(F.least("record_l", "record_r").alias("record_a"), F.greatest("record_l", "record_r").alias("record_b"), F.lit(1.0).alias("sim"))
     return across.unionByName(inside)
 
 
