@@ -30,7 +30,7 @@ TARGET_RECALL = 0.9995
 UNRELATED, MEETS = 0.1, 1e-4
 #: Sets in a neighbourhood above which it deepens, and the levels that it can deepen by.
 CROWD, DEEPER = 64, 2
-#: Bits of a level in a key; LEVEL_BITS times the levels is at most 63.
+#: Bits of a level in a key; what they leave of 63 bits holds the number of a tree.
 LEVEL_BITS = 9
 #: Share of trees above the least number, so that a few crowded neighbourhoods don't call for another round.
 SPARE = 0.05
@@ -63,9 +63,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _sketches(first: int, trees: int, start: int, deepest: int, pieces: int, slots: int):
-    """Arrow function: (id, n, members) in; (slot, tree, key, id, n) for every tree out.
+    """Arrow function: (id, n, members) in; (slot, key, id, n) for every tree out.
 
-    A key holds the levels, the first in its highest bits. Slots are ranges of (tree, first ``start``
+    A key holds the tree's number in this round in its highest bits, then the levels, so that keys order trees
+    and signatures at once. Slots are ranges of (tree, first ``start``
     levels): whole trees, or ``pieces`` equal ranges of a tree, as levels are evenly spread hashes.
     """
     draw = np.random.default_rng([7, first])
@@ -82,42 +83,42 @@ def _sketches(first: int, trees: int, start: int, deepest: int, pieces: int, slo
             base = _mix(_mix((m & np.uint64(0xFFFFFFFF)).astype(np.uint32)) ^ (m >> np.uint64(32)).astype(np.uint32))
             ids, n = b.column("id"), b.column("n")
             for t in range(trees):
-                key = np.zeros(len(starts), np.int64)
+                key = np.full(len(starts), t, np.int64)
                 for level in range(deepest):
                     with np.errstate(over="ignore"):
                         least = np.minimum.reduceat((base ^ shift[t, level]) * factor[t, level], starts)
                     key = (key << LEVEL_BITS) | (_mix(least) >> np.uint32(32 - LEVEL_BITS)).astype(np.int64)
-                head = key >> (LEVEL_BITS * (deepest - start))
+                head = (key >> (LEVEL_BITS * (deepest - start))) & ((1 << (LEVEL_BITS * start)) - 1)
                 slot = np.full(len(starts), t * slots // trees) if pieces == 1 else t * pieces + head * pieces // (1 << (LEVEL_BITS * start))
-                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(np.full(len(starts), t, np.int16)), pa.array(key), ids, n], names=["slot", "tree", "key", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(key), ids, n], names=["slot", "key", "id", "n"])
 
     return run
 
 
-def _same(key: np.ndarray, tree: np.ndarray, drop_levels: int) -> np.ndarray:
-    """Where a row shares all but ``drop_levels`` levels with the row before it."""
+def _same(key: np.ndarray, drop_levels: int) -> np.ndarray:
+    """Where a row shares tree and all but ``drop_levels`` levels with the row before it."""
     k = key >> (LEVEL_BITS * drop_levels)
-    return np.append(False, (k[1:] == k[:-1]) & (tree[1:] == tree[:-1]))
+    return np.append(False, k[1:] == k[:-1])
 
 
 def _neighbours(min_sim: float, start: int, deepest: int):
-    """Arrow function: rows ordered by (tree, key) in; (what, a, b) out.
+    """Arrow function: rows ordered by key in; (what, a, b) out.
 
     what 0: a pair of neighbours whose sizes permit min_sim. what 1: set a shared the start of a tree with
-    b % SEEN others, and was compared at depth b // SEEN. what -1 - tree: set a is in the crowd that shares the whole key b in that tree.
+    b % SEEN others, and was compared at depth b // SEEN. what -1: set a is in the crowd that shares the whole key b.
     """
     levels = range(start, deepest + 1)
 
-    def compared(tree, key, ids, n, floors: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
-        """``floors`` (tree, prefix, depth): rows that continue a crowded prefix begin at no less than that depth."""
+    def compared(key, ids, n, floors: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        """``floors`` (prefix, depth): rows that continue a crowded prefix begin at no less than that depth."""
         size = len(key)
         depth, run_of = np.zeros(size, np.int64), np.zeros(size, np.int64)
         low = np.zeros(size, np.int64)
-        for t, prefix, d in floors:
-            on = (tree == t) & (key >> (LEVEL_BITS * (deepest - d + 1)) == prefix)
+        for prefix, d in floors:
+            on = key >> (LEVEL_BITS * (deepest - d + 1)) == prefix
             low[on] = np.maximum(low[on], d)
         for d in levels:
-            run = np.cumsum(~_same(key, tree, deepest - d)) - 1
+            run = np.cumsum(~_same(key, deepest - d)) - 1
             many = np.bincount(run)[run]
             if d == start:
                 others = many - 1
@@ -126,7 +127,7 @@ def _neighbours(min_sim: float, start: int, deepest: int):
         crowd = depth == 0
         out = []
         if crowd.any():
-            out.append((np.full(crowd.sum(), -1, np.int64) - tree[crowd].astype(np.int64), ids[crowd], key[crowd]))
+            out.append((np.full(crowd.sum(), -1, np.int64), ids[crowd], key[crowd]))
             depth[crowd] = deepest
         shared = others > 0
         if shared.any():
@@ -148,28 +149,28 @@ def _neighbours(min_sim: float, start: int, deepest: int):
         for what, a, b in out:
             yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["what", "a", "b"])
 
-    def continued(tree: int, key: int, to: int) -> list[tuple[int, int, int]]:
+    def continued(key: int, to: int) -> list[tuple[int, int]]:
         """Floors for rows that go on after a cut at a change of level ``to``: all shorter prefixes are crowded."""
-        return [(tree, key >> (LEVEL_BITS * (deepest - d + 1)), d) for d in range(start + 1, to + 1)]
+        return [(key >> (LEVEL_BITS * (deepest - d + 1)), d) for d in range(start + 1, to + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, floors = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "key", "id", "n")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "id", "n")]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             # the last neighbourhood may go on in the next batch; a very long one is cut where a deeper level changes
             for d in levels if len(held[0]) > HELD else (start,):
-                edge = np.flatnonzero(~_same(held[1], held[0], deepest - d))[-1]
+                edge = np.flatnonzero(~_same(held[0], deepest - d))[-1]
                 if edge > 0:
                     yield from compared(*[x[:edge] for x in held], floors)
                     held = [x[edge:] for x in held]
-                    floors = [f for f in floors if held[0][0] == f[0] and held[1][0] >> (LEVEL_BITS * (deepest - f[2] + 1)) == f[1]] + continued(int(held[0][0]), int(held[1][0]), d)
+                    floors = [f for f in floors if held[0][0] >> (LEVEL_BITS * (deepest - f[1] + 1)) == f[0]] + continued(int(held[0][0]), d)
                     break
             else:
                 if len(held[0]) > HELD:  # one crowd down to the deepest level
-                    floors = floors + continued(int(held[0][0]), int(held[1][0]), deepest + 1)
+                    floors = floors + continued(int(held[0][0]), deepest + 1)
                     yield from compared(*held, floors)
                     held = None
         if held is not None:
@@ -200,9 +201,10 @@ def _forest(sets: DataFrame, min_sim: float, first: int, trees: int, start: int,
     pieces = max(1, parts // trees)
     slots = trees * pieces if pieces > 1 else min(parts, trees)
     # minhash is worth spreading out even where the input is one small file
-    rows = sets.repartition(parts, "id").select("id", "n", "members").mapInArrow(_sketches(first, trees, start, deepest, pieces, slots), "slot int, tree short, key long, id long, n int")
-    ordered = rows.repartitionById(slots, "slot").sortWithinPartitions("tree", "key", "n", "id")
-    return ordered.select("tree", "key", "id", "n").mapInArrow(_neighbours(min_sim, start, deepest), "what long, a long, b long")
+    rows = sets.repartition(parts, "id").select("id", "n", "members").mapInArrow(_sketches(first, trees, start, deepest, pieces, slots), "slot int, key long, id long, n int")
+    # one 64-bit sort key: Spark sorts it by radix
+    ordered = rows.repartitionById(slots, "slot").sortWithinPartitions("key")
+    return ordered.select("key", "id", "n").mapInArrow(_neighbours(min_sim, start, deepest), "what long, a long, b long")
 
 
 def similar_sets(sets: DataFrame, min_sim: float, target: float = TARGET_RECALL) -> DataFrame:
@@ -214,10 +216,13 @@ def similar_sets(sets: DataFrame, min_sim: float, target: float = TARGET_RECALL)
     if not 0 < min_sim <= 1:
         raise ValueError("min_sim must be above 0 and at most 1")
     start, trees = plan_forest(min_sim, target)
-    deepest, goal, first, todo, before, found = min(start + DEEPER, 63 // LEVEL_BITS), math.log(1 - target) + 1e-9, 0, sets, None, None
+    most = 1 << (63 - LEVEL_BITS * (start + DEEPER))  # trees of a round: what is left of a key's bits
+    if trees > most:
+        raise ValueError(f"a threshold of {min_sim} needs more than {most} trees")
+    deepest, goal, first, todo, before, found = start + DEEPER, math.log(1 - target) + 1e-9, 0, sets, None, None
     while True:
         got = cut(_forest(todo, min_sim, first, trees, start, deepest), "forest")
-        crowds = group_pairs(got.where("what < 0").select(F.struct("what", "b").alias("g"), F.col("a").alias("i")), "g", ["i"])
+        crowds = group_pairs(got.where("what < 0").select(F.col("b").alias("g"), F.col("a").alias("i")), "g", ["i"])
         near = got.where("what = 0").select("a", "b").unionByName(crowds.select(F.least("i_l", "i_r").alias("a"), F.greatest("i_l", "i_r").alias("b")))
         found = near if found is None else found.unionByName(near)
         # how a set's neighbours, each counting alike, were compared says how a partner would be: at depth d with
@@ -231,7 +236,7 @@ def similar_sets(sets: DataFrame, min_sim: float, target: float = TARGET_RECALL)
         worst = before.agg(F.max("miss")).first()[0]
         if worst is None:
             break
-        first, trees = first + trees, max(1, math.ceil((worst - goal) / -_log_miss(min_sim, deepest)))
+        first, trees = first + trees, min(most, max(1, math.ceil((worst - goal) / -_log_miss(min_sim, deepest))))
         todo = sets.join(before.select("id"), "id", "left_semi")
     close = found.distinct()
     x, y = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
