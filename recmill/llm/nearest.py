@@ -1,15 +1,11 @@
 """Problem 3: the most similar vectors by shifted space-filling curves.
 
-Unit vectors are projected at random and ordered along several Hilbert curves, each with its own
-projection and shift. The curves are range-partitioned; on each one a probe is compared with the window
-of its neighbours by key, and the windows of all curves are merged and reranked by exact cosine.
-
-How often the curves agree on what they found says how much they missed (Chao's estimator on the
-neighbours seen by one and by two curves). Where it says that a neighbour may be missing, which in data
-without clusters is the rule, the probe's window widens to the curve's whole length: it is compared with
-the curve's blocks of consecutive keys, without those that lie too far off to hold a better vector. The
-same holds where a window ends among rows of the probe's own key or among rows that are as near as the
-k-th best: behind its end there may be more of them, as with copies of a vector, on which all curves agree.
+Vectors that point the same way are one class, under its least id. The classes' unit vectors are projected
+at random and ordered along many Hilbert curves, each with its own projection and shift. A curve is cut into
+ranges of about RANGE_ROWS rows, whose bounds come from a bounded sample; each range also gets the rows just
+beyond its bounds, so windows don't end there. On each curve a probe is compared with the window of its
+neighbours by key, the best of all windows are merged, classes give way to their members with the least
+ids, and what is left is reranked by the exact cosine. Work and shuffle grow with the number of vectors.
 """
 
 from __future__ import annotations
@@ -22,21 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recmill.operators.pairs import side_pairs
 from recmill.session import cut
 
-CURVES = 8
+CURVES = 24
 #: Neighbours by key on each side of a probe.
-WINDOW = 64
+WINDOW = 512
 #: Projected dimensions and bits of each; their product is at most 62.
-DIMS, BITS = 12, 5
-#: Estimated number of missing neighbours up to which a probe's windows stay as they are.
-MISSED = 0.05
-#: Vectors in a block of the widened window, and probes in a pack that meets them.
-BLOCK, PACK = 8192, 4096
-
-_HIT = "kind string, probe int, id int, r int"
-#: ``edge`` of a window that ends among rows of the probe's own key: above every r.
-_FULL = 2_000_000
+DIMS, BITS = 24, 2
+#: Rows of a curve that are ordered together, and vectors that the bounds of such ranges are fitted on, at most.
+RANGE_ROWS, SAMPLE = 50_000, 40_000
+#: Classes kept for a probe beside the k that are asked for: windows compare vectors of 16-bit members.
+SPARE = 4
+#: Unit vectors that agree in all members to this many parts of 1 are one class.
+SAME = 100_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -73,80 +68,124 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _curve_cells(unit: np.ndarray, curve: int) -> np.ndarray:
-    """Grid cells on one curve: a projection by its own random directions, evened out, shifted."""
+def curve_keys(unit: np.ndarray, curve: int) -> np.ndarray:
+    """Keys on one curve: a projection by its own random directions, evened out and shifted."""
     rng = np.random.default_rng([curve, unit.shape[1]])
     to = rng.standard_normal((unit.shape[1], DIMS))
     p = unit @ (to / np.sqrt((to * to).sum(0))) * math.sqrt(unit.shape[1])
     even = 1 / (1 + np.exp(-1.702 * p))
-    return np.minimum((even + rng.random(DIMS)) / 2 * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
+    return hilbert_key(np.minimum((even + rng.random(DIMS)) / 2 * (1 << BITS), (1 << BITS) - 1).astype(np.int64), BITS)
 
 
 def _rows(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _keys(dim: int, curves: list[int]):
+def _coded(dim: int):
+    """(kind, id, probe, vec) in; with the class's code out."""
+    mix = np.random.default_rng(dim).integers(1, 2**63, dim, dtype=np.uint64) | np.uint64(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            unit = _unit(_rows(b.column("vec"), dim))
-            for c in curves:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("kind"), pa.array(np.full(b.num_rows, c, np.int16)), pa.array(hilbert_key(_curve_cells(unit, c), BITS)), b.column("id"), b.column("probe"), b.column("vec")],
-                    names=["kind", "curve", "key", "id", "probe", "vec"],
-                )
+            cells = np.rint(_unit(_rows(b.column("vec"), dim)) * SAME).astype(np.int64).view(np.uint64)
+            with np.errstate(over="ignore"):
+                h = (cells * mix).sum(1, dtype=np.uint64)
+                h = (h ^ (h >> np.uint64(29))) * mix[0]
+                h ^= h >> np.uint64(32)
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("id"), b.column("probe"), pa.array(h.view(np.int64)), b.column("vec")], names=["kind", "id", "probe", "code", "vec"])
 
     return run
 
 
-def _best(r: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places, by row, of the k greatest r, ties to the smaller id; both are rows x candidates."""
-    code = (np.int64(2_000_000) - r.astype(np.int64)) * 2**32 + (ids.astype(np.int64) + 2**31)
-    if code.shape[1] > k:
-        near = np.argpartition(code, k - 1, axis=1)[:, :k]
-        return np.take_along_axis(near, np.argsort(np.take_along_axis(code, near, 1), axis=1), 1)
-    return np.argsort(code, axis=1)
+class _Ranges:
+    """Bounds of the ranges of every kind's curves, with the overlap beyond each, from a sample of vectors."""
+
+    def __init__(self, counts: dict[str, int], sample: dict[str, np.ndarray], dim: int):
+        self.first: dict[str, int] = {}
+        self.many: dict[str, int] = {}
+        self.bounds: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.slots = 0
+        for kind in sorted(counts):
+            n, unit = counts[kind], sample.get(kind, np.zeros((0, dim)))
+            many = max(1, min(-(-n // RANGE_ROWS), len(unit)))
+            self.first[kind], self.many[kind] = self.slots, many
+            self.slots += many * CURVES
+            # twice the window, as the sample only estimates where it ends
+            beyond = 2 * WINDOW / max(n, 1) * len(unit) + 1
+            at = np.arange(1, many) * len(unit) / many
+            for c in range(CURVES):
+                keys = np.sort(curve_keys(unit, c)) if many > 1 else np.zeros(1, np.int64)
+                place = lambda x, keys=keys: keys[np.clip(x.astype(int), 0, len(keys) - 1)]
+                self.bounds[kind, c] = place(at), place(at - beyond), place(at + beyond)
+
 
+def _keys(dim: int, ranges: _Ranges):
+    """(kind, code, probe, vec) in; for every curve the row in its range, and in a neighbouring one it is close to, out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            unit = _unit(_rows(b.column("vec"), dim))
+            kinds, code, probe = b.column("kind").to_numpy(zero_copy_only=False), b.column("code").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False)
+            short = np.rint(unit * 32767).astype("<i2")
+            vecs = pa.Array.from_buffers(pa.binary(), len(short), [None, pa.py_buffer((np.arange(len(short) + 1, dtype=np.int32) * 2 * dim).tobytes()), pa.py_buffer(short.tobytes())])
+            for kind in np.unique(kinds):
+                on = np.flatnonzero(kinds == kind)
+                for c in range(CURVES):
+                    key = curve_keys(unit[on], c)
+                    bounds, low, high = ranges.bounds[kind, c]
+                    own = np.searchsorted(bounds, key, side="right")
+                    slots, rows, firsts = [own], [on], [np.ones(len(on), bool)]
+                    if len(bounds):
+                        after = (own > 0) & (key <= high[np.maximum(own - 1, 0)])
+                        before = (own < len(bounds)) & (key >= low[np.minimum(own, len(bounds) - 1)])
+                        for mask, step in ((after, -1), (before, 1)):
+                            slots.append(own[mask] + step)
+                            rows.append(on[mask])
+                            firsts.append(np.zeros(mask.sum(), bool))
+                        key = np.concatenate([key, key[after], key[before]])
+                    at = np.concatenate(rows)
+                    slot = ranges.first[kind] + c * ranges.many[kind] + np.concatenate(slots)
+                    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(key), pa.array(code[at]), pa.array(probe[at] & np.concatenate(firsts)), vecs.take(pa.array(at))], names=["slot", "key", "code", "probe", "vec"])
 
-_NONE = -2_000_000
+    return run
 
 
-def _window_hits(k: int, width: int, dim: int):
-    """Sorted rows of curves in; for every probe the k best of its window out, with the greatest r at the window's ends."""
+def _window_hits(keep: int, dim: int, kind_of: list[tuple[int, str]]):
+    """Sorted rows of ranges in; for every probe the ``keep`` best of its window out."""
+    width = WINDOW
+    begins, names = np.array([k[0] for k in kind_of]), np.array([k[1] for k in kind_of], object)
 
-    def hits(kind, curve, key, ids, probe, unit, lo, hi):
+    def hits(slot, code, probe, vec, lo, hi):
         at = np.flatnonzero(probe[lo:hi]) + lo
-        for a in range(0, len(at), 256):
-            p = at[a : a + 256]
-            near = p[:, None] + np.concatenate([np.arange(-width, 0), np.arange(1, width + 1)])
-            inside = (near >= 0) & (near < len(ids))
-            near = np.where(inside, near, 0)
-            inside &= (kind[near] == kind[p][:, None]) & (curve[near] == curve[p][:, None])
-            r = np.rint(np.einsum("pcd,pd->pc", unit[near], unit[p]) * 1e6).astype(np.int64)
-            r = np.where(inside, r, _NONE)
-            ends = [0, -1]
-            full = inside[:, ends] & (key[near[:, ends]] == key[p][:, None])
-            edge = np.where(full, _FULL, r[:, ends]).max(1)
-            best = _best(r, ids[near], k)
+        i = 0
+        while i < len(at):
+            # probes that lie close together share one block of rows
+            n = int(np.searchsorted(at, at[i] + 2 * width, side="right"))
+            p = at[i : min(n, i + 512)]
+            i += len(p)
+            a, z = max(0, p[0] - width), min(len(code), p[-1] + width + 1)
+            rows = np.arange(a, z)
+            off = np.abs(rows[None, :] - p[:, None])
+            r = np.where((off > 0) & (off <= width) & (slot[a:z][None, :] == slot[p][:, None]), vec[p] @ vec[a:z].T, -9)
+            best = np.argpartition(-r, min(keep, r.shape[1] - 1), axis=1)[:, :keep]
             found = np.take_along_axis(r, best, 1)
-            keep = found > _NONE
+            ok = found > -9
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(kind[p], best.shape[1])[keep.ravel()], pa.string()),
-                    pa.array(np.repeat(ids[p], best.shape[1])[keep.ravel()], pa.int32()),
-                    pa.array(np.take_along_axis(ids[near], best, 1)[keep], pa.int32()),
-                    pa.array(found[keep], pa.int32()),
-                    pa.array(np.repeat(edge, best.shape[1])[keep.ravel()], pa.int32()),
-                ],
-                names=["kind", "probe", "id", "r", "edge"],
+                [pa.array(np.repeat(names[np.searchsorted(begins, slot[p], side="right") - 1], ok.sum(1)), pa.string()), pa.array(np.repeat(code[p], ok.sum(1))), pa.array(code[a:z][best][ok]), pa.array(found[ok].astype(np.float32))],
+                names=["kind", "probe", "code", "r"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, begin = None, 0  # rows from `begin` on have not had their turn; `width` rows before them are kept
         for b in batches:
-            new = [b.column("kind").to_numpy(zero_copy_only=False), b.column("curve").to_numpy(), b.column("key").to_numpy(), b.column("id").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False), _unit(_rows(b.column("vec"), dim))]
+            if not b.num_rows:
+                continue
+            vec = np.frombuffer(b"".join(b.column("vec").to_pylist()), "<i2").reshape(-1, dim).astype(np.float32) / 32767
+            new = [b.column("slot").to_numpy(), b.column("code").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False), vec]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             end = len(held[0]) - width
             if end > begin:
@@ -159,68 +198,6 @@ def _window_hits(k: int, width: int, dim: int):
     return run
 
 
-def _blocks(dim: int):
-    """Sorted rows of one curve in; blocks of consecutive keys out, with their centre's reach."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(kind, ids, vecs):
-            unit = _unit(vecs)
-            centre = unit.sum(0)
-            norm = np.sqrt(centre @ centre)
-            centre = centre / norm if norm > 0 else unit[0]
-            reach = float(np.arccos(np.clip((unit @ centre).min(), -1, 1)))
-            return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([int(ids[0])], pa.int64()), pa.array([ids.astype("<i4").tobytes()], pa.binary()), pa.array([vecs.astype("<f4").tobytes()], pa.binary()), pa.array([centre.astype("<f8").tobytes()], pa.binary()), pa.array([reach])], names=["kind", "block", "ids", "vecs", "centre", "reach"])
-
-        held: list = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            kinds, ids, vecs = b.column("kind").to_numpy(zero_copy_only=False), b.column("id").to_numpy(), _rows(b.column("vec"), dim)
-            edges = np.append(np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])), len(kinds))
-            for a, z in zip(edges[:-1], edges[1:], strict=True):
-                if held and held[0] != kinds[a]:
-                    yield block(*held)
-                    held = []
-                held = [kinds[a], np.concatenate([held[1], ids[a:z]]), np.concatenate([held[2], vecs[a:z]])] if held else [kinds[a], ids[a:z], vecs[a:z]]
-                while len(held[1]) >= BLOCK:
-                    yield block(held[0], held[1][:BLOCK], held[2][:BLOCK])
-                    held = [held[0], held[1][BLOCK:], held[2][BLOCK:]]
-        if held and len(held[1]):
-            yield block(*held)
-
-    return run
-
-
-def _widened(k: int, dim: int):
-    """(block, pack of probes) rows in; for every probe the block's vectors that reach its k-th best so far out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                kind = b.column("kind")[i].as_py()
-                ids = np.frombuffer(b.column("ids")[i].as_py(), "<i4")
-                unit = _unit(np.frombuffer(b.column("vecs")[i].as_py(), "<f4").reshape(-1, dim))
-                centre, reach = np.frombuffer(b.column("centre")[i].as_py(), "<f8"), b.column("reach")[i].as_py()
-                pack = b.column("pack")[i].values
-                pid, kth = pack.field("probe").to_numpy(), pack.field("kth").to_numpy()
-                pv = _unit(_rows(pack.field("vec"), dim))
-                limit = (kth - 1) / 1e6
-                off = np.arccos(np.clip(pv @ centre, -1, 1)) - reach
-                on = np.flatnonzero(np.cos(np.maximum(off, 0)) >= limit)
-                for a in range(0, len(on), 256):
-                    p = on[a : a + 256]
-                    s = pv[p] @ unit.T
-                    s[ids[None, :] == pid[p][:, None]] = -3
-                    many = (s >= limit[p][:, None]).sum(1)
-                    for j in np.flatnonzero(many):
-                        c = np.flatnonzero(s[j] >= limit[p[j]])
-                        r = np.rint(s[j, c] * 1e6).astype(np.int64)
-                        best = _best(r[None], ids[c][None], k)[0]
-                        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(best), pa.string()), pa.array(np.full(len(best), pid[p[j]]), pa.int32()), pa.array(ids[c][best], pa.int32()), pa.array(r[best], pa.int32())], names=["kind", "probe", "id", "r"])
-
-    return run
-
-
 def _gathered(run, rows: int = 20_000):
     """The batches of ``run`` put together to larger ones."""
 
@@ -238,58 +215,69 @@ def _gathered(run, rows: int = 20_000):
     return out
 
 
+def _exact(dim: int):
+    """(kind, probe, id, x, y) in; (kind, probe, id, r) with the cosine in millionths out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                r = np.rint((_unit(_rows(b.column("x"), dim)) * _unit(_rows(b.column("y"), dim))).sum(1) * 1e6).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("probe"), b.column("id"), pa.array(r)], names=["kind", "probe", "id", "r"])
+
+    return run
+
+
 def usable_vectors(df: DataFrame, vec: str, dim: int) -> DataFrame:
     """Rows whose vector has ``dim`` finite members and is not all zero."""
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return df.where(F.col(vec).isNotNull()).where((F.size(vec) == dim) & ~bad & F.exists(vec, lambda x: x != 0))
 
 
-def _top(hits: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("kind", "probe").orderBy(F.desc("r"), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _first(df: DataFrame, keys: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
 
 
-def nearest(vectors: DataFrame, probes: DataFrame, k: int = 10, dim: int = 48, widen: bool = True) -> DataFrame:
+def nearest(vectors: DataFrame, probes: DataFrame, k: int = 10, dim: int = 48) -> DataFrame:
     """(kind, probe, id, cosine, rank): for every probe the ``k`` other vectors of its kind with the highest
     cosine, rounded to six decimals, ties to the smaller id.
 
     ``vectors(kind, id, vec)``, ids int32 and unique within a kind; ``probes(kind, id)``. Vectors that are
     null, all zero, of another length, or hold a null, NaN or infinity take no part, nor do probes without
-    a vector; repeated probes count once. Fewer than ``k`` others give fewer rows. ``widen=False`` leaves
-    out the widening of windows, to measure what the curves find by themselves.
+    a vector; repeated probes count once. Fewer than ``k`` others give fewer rows. Copies and multiples of a
+    vector are found whatever their number: only classes are ordered, and any class gives its k + 1 least ids.
     """
     spark = vectors.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     known = usable_vectors(vectors.select("kind", F.col("id").cast("int").alias("id"), F.col("vec").cast("array<float>").alias("vec")), "vec", dim).where("kind is not null and id is not null")
     wanted = probes.where("kind is not null and id is not null").select("kind", F.col("id").cast("int").alias("id")).distinct().withColumn("probe", F.lit(True))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    marked = cut(known.join(wanted, ["kind", "id"], "left").select("kind", "id", F.coalesce("probe", F.lit(False)).alias("probe"), "vec"), "vectors")
-    schema = "kind string, curve short, key long, id int, probe boolean, vec array<float>"
-    ordered = marked.mapInArrow(_keys(dim, list(range(CURVES))), schema).repartitionByRange(parts, "kind", "curve", "key").sortWithinPartitions("kind", "curve", "key", "id")
-    seen = ordered.mapInArrow(_gathered(_window_hits(k, WINDOW, dim)), _HIT + ", edge int")
-    merged = seen.groupBy("kind", "probe", "id").agg(F.max("r").alias("r"), F.count("*").alias("times"), F.max("edge").alias("edge"))
-    merged = merged.withColumn("edge", F.max("edge").over(Window.partitionBy("kind", "probe")))
-    first = cut(_top(merged, k), "windows")
-    if not widen:
-        return _named(first)
-    f1, f2 = F.sum(F.when(F.col("times") == 1, 1).otherwise(0)), F.sum(F.when(F.col("times") == 2, 1).otherwise(0))
-    state = first.groupBy("kind", "probe").agg(F.count("*").alias("n"), F.min("r").alias("r"), f1.alias("f1"), f2.alias("f2"), F.max("edge").alias("edge"))
-    sure = (F.col("n") >= k) & (F.col("edge") < F.col("r")) & (F.col("f1") * (F.col("f1") - 1) / (2 * (F.col("f2") + 1)) <= MISSED)
-    all_probes = marked.where("probe").select("kind", F.col("id").alias("probe"), "vec")
-    open_ = all_probes.join(state.where(sure), ["kind", "probe"], "left_anti").join(state.select("kind", "probe", "n", "r"), ["kind", "probe"], "left")
-    # k-th best so far; without k neighbours anything may be better
-    open_ = cut(open_.select("kind", "probe", "vec", F.when(F.col("n") >= k, F.col("r")).otherwise(-1_000_001).alias("kth")), "open")
-    n_open = open_.groupBy("kind").agg(F.count("*").alias("n")).collect()
-    if not n_open:
-        return _named(first)
-    packs = max(1, math.ceil(max(r["n"] for r in n_open) / PACK))
-    salts = parts
-    pack = open_.groupBy("kind", F.pmod(F.hash("probe"), F.lit(packs)).alias("p")).agg(F.collect_list(F.struct("probe", "kth", "vec")).alias("pack"))
-    pack = pack.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    line = marked.mapInArrow(_keys(dim, [0]), schema).repartitionByRange(parts, "kind", "key").sortWithinPartitions("kind", "key", "id")
-    blocks = line.mapInArrow(_blocks(dim), "kind string, block long, ids binary, vecs binary, centre binary, reach double")
-    blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    wide = blocks.join(pack, ["kind", "p", "salt"]).select("kind", "ids", "vecs", "centre", "reach", "pack").mapInArrow(_gathered(_widened(k, dim)), _HIT)
-    return _named(_top(first.select("kind", "probe", "id", "r").unionByName(wide).distinct(), k))
+    marked = known.join(wanted, ["kind", "id"], "left").select("kind", "id", F.coalesce("probe", F.lit(False)).alias("probe"), "vec")
+    coded = cut(marked.mapInArrow(_coded(dim), "kind string, id int, probe boolean, code long, vec array<float>"), "vectors")
+    classes = cut(coded.groupBy("kind", "code").agg(F.min(F.struct("id", "vec")).alias("m"), F.max("probe").alias("probe")).select("kind", "code", "probe", "m.vec"), "classes")
+    counts = {r["kind"]: r["n"] for r in classes.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return _named(spark.createDataFrame([], "kind string, probe int, id int, r int, rank int"))
+    sample: dict[str, list] = {x: [] for x in counts}
+    if max(counts.values()) > RANGE_ROWS:  # bounded by SAMPLE; without a second range there is no bound to fit
+        for r in classes.orderBy(F.xxhash64("kind", "code"), "kind", "code").limit(SAMPLE).select("kind", "vec").collect():
+            sample[r["kind"]].append(r["vec"])
+    ranges = _Ranges(counts, {x: _unit(np.array(v, np.float32)) for x, v in sample.items() if v}, dim)
+    rows = classes.mapInArrow(_keys(dim, ranges), "slot int, key long, code long, probe boolean, vec binary")
+    ordered = rows.repartitionById(min(parts, ranges.slots), F.pmod("slot", F.lit(min(parts, ranges.slots)))).sortWithinPartitions("slot", "key", "code")
+    keep = k + SPARE
+    kind_of = sorted((n, x) for x, n in ranges.first.items())
+    seen = ordered.select("slot", "code", "probe", "vec").mapInArrow(_gathered(_window_hits(keep, dim, kind_of)), "kind string, probe long, code long, r float")
+    merged = seen.groupBy("kind", "probe", "code").agg(F.max("r").alias("r"))
+    best = _first(merged, ["kind", "probe"], [F.desc("r"), "code"], keep).select("kind", F.col("probe").alias("of"), "code")
+    own = classes.where("probe").select("kind", F.col("code").alias("of"), "code")
+    # the least ids of every class that is in question, beside a probe of that class
+    few = _first(coded.select("kind", "code", "id"), ["kind", "code"], ["id"], k + 1).drop("rank")
+    offered = best.unionByName(own).join(few, ["kind", "code"]).select(F.struct("kind", F.col("of").alias("code")).alias("on"), "id")
+    asked = coded.where("probe").select(F.struct("kind", "code").alias("on"), F.col("id").alias("probe"))
+    pairs = side_pairs(cut(asked, "asked"), cut(offered, "offered"), "on", ["probe"], ["id"]).where("probe <> id").select("on.kind", "probe", "id")
+    vec = coded.select("kind", "id", "vec")
+    both = pairs.join(vec.withColumnRenamed("vec", "y"), ["kind", "id"]).join(vec.select("kind", F.col("id").alias("probe"), F.col("vec").alias("x")), ["kind", "probe"])
+    exact = both.select("kind", "probe", "id", "x", "y").mapInArrow(_exact(dim), "kind string, probe int, id int, r int")
+    return _named(_first(exact, ["kind", "probe"], [F.desc("r"), "id"], k))
 
 
 def _named(top: DataFrame) -> DataFrame:
