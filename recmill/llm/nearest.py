@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from recmill.operators.pairs import side_pairs
 from recmill.session import cut
 
-CURVES = 24
+CURVES = 20
 #: Neighbours by key on each side of a probe.
-WINDOW = 512
-#: Projected dimensions and bits of each; their product is at most 62.
+WINDOW = 640
+#: Projected dimensions and bits of each; their product, the bits of a key, leaves 15 of 63 for the number of a range.
 DIMS, BITS = 24, 2
-#: Rows of a curve that are ordered together, and vectors that the bounds of such ranges are fitted on, at most.
-RANGE_ROWS, SAMPLE = 50_000, 40_000
+#: Rows of a curve that are ordered together (more, where there would be more ranges than numbers for them), and
+#: vectors that the bounds of such ranges are fitted on, at most.
+RANGE_ROWS, SAMPLE = 50_000, 10_000
 #: Classes kept for a probe beside the k that are asked for: windows compare vectors of 16-bit members.
 SPARE = 4
 #: Unit vectors that agree in all members to this many parts of 1 are one class.
@@ -93,7 +94,7 @@ def _coded(dim: int):
             with np.errstate(over="ignore"):
                 h = (cells * mix).sum(1, dtype=np.uint64)
                 h = (h ^ (h >> np.uint64(29))) * mix[0]
-                h ^= h >> np.uint64(32)
+                h = (h ^ (h >> np.uint64(32))) & ~np.uint64(1)  # the last bit is for marks
             yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("id"), b.column("probe"), pa.array(h.view(np.int64)), b.column("vec")], names=["kind", "id", "probe", "code", "vec"])
 
     return run
@@ -107,9 +108,10 @@ class _Ranges:
         self.many: dict[str, int] = {}
         self.bounds: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.slots = 0
+        rows = max(RANGE_ROWS, 2 * CURVES * sum(counts.values()) >> (63 - DIMS * BITS))
         for kind in sorted(counts):
             n, unit = counts[kind], sample.get(kind, np.zeros((0, dim)))
-            many = max(1, min(-(-n // RANGE_ROWS), len(unit)))
+            many = max(1, min(-(-n // rows), len(unit)))
             self.first[kind], self.many[kind] = self.slots, many
             self.slots += many * CURVES
             # twice the window, as the sample only estimates where it ends
@@ -122,7 +124,10 @@ class _Ranges:
 
 
 def _keys(dim: int, ranges: _Ranges):
-    """(kind, code, probe, vec) in; for every curve the row in its range, and in a neighbouring one it is close to, out."""
+    """(kind, code, probe, vec) in; for every curve the row in its range, and in a neighbouring one it is close to, out.
+
+    ``place`` is range and key, ``code`` has the mark of a probe for its last bit: rows are many, and small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +154,7 @@ def _keys(dim: int, ranges: _Ranges):
                         key = np.concatenate([key, key[after], key[before]])
                     at = np.concatenate(rows)
                     slot = ranges.first[kind] + c * ranges.many[kind] + np.concatenate(slots)
-                    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(key), pa.array(code[at]), pa.array(probe[at] & np.concatenate(firsts)), vecs.take(pa.array(at))], names=["slot", "key", "code", "probe", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array((slot << (DIMS * BITS)) | key), pa.array(code[at] | (probe[at] & np.concatenate(firsts))), vecs.take(pa.array(at))], names=["place", "code", "vec"])
 
     return run
 
@@ -185,7 +190,8 @@ def _window_hits(keep: int, dim: int, kind_of: list[tuple[int, str]]):
             if not b.num_rows:
                 continue
             vec = np.frombuffer(b"".join(b.column("vec").to_pylist()), "<i2").reshape(-1, dim).astype(np.float32) / 32767
-            new = [b.column("slot").to_numpy(), b.column("code").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False), vec]
+            code = b.column("code").to_numpy()
+            new = [b.column("place").to_numpy() >> (DIMS * BITS), code & ~1, (code & 1) == 1, vec]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             end = len(held[0]) - width
             if end > begin:
@@ -261,11 +267,12 @@ def nearest(vectors: DataFrame, probes: DataFrame, k: int = 10, dim: int = 48) -
         for r in classes.orderBy(F.xxhash64("kind", "code"), "kind", "code").limit(SAMPLE).select("kind", "vec").collect():
             sample[r["kind"]].append(r["vec"])
     ranges = _Ranges(counts, {x: _unit(np.array(v, np.float32)) for x, v in sample.items() if v}, dim)
-    rows = classes.mapInArrow(_keys(dim, ranges), "slot int, key long, code long, probe boolean, vec binary")
-    ordered = rows.repartitionById(min(parts, ranges.slots), F.pmod("slot", F.lit(min(parts, ranges.slots)))).sortWithinPartitions("slot", "key", "code")
+    rows = classes.mapInArrow(_keys(dim, ranges), "place long, code long, vec binary")
+    tasks = min(parts, ranges.slots)
+    ordered = rows.repartitionById(tasks, F.pmod(F.shiftright("place", DIMS * BITS), F.lit(tasks)).cast("int")).sortWithinPartitions("place")
     keep = k + SPARE
     kind_of = sorted((n, x) for x, n in ranges.first.items())
-    seen = ordered.select("slot", "code", "probe", "vec").mapInArrow(_gathered(_window_hits(keep, dim, kind_of)), "kind string, probe long, code long, r float")
+    seen = ordered.mapInArrow(_gathered(_window_hits(keep, dim, kind_of)), "kind string, probe long, code long, r float")
     merged = seen.groupBy("kind", "probe", "code").agg(F.max("r").alias("r"))
     best = _first(merged, ["kind", "probe"], [F.desc("r"), "code"], keep).select("kind", F.col("probe").alias("of"), "code")
     own = classes.where("probe").select("kind", F.col("code").alias("of"), "code")
