@@ -26,7 +26,9 @@ _MATH = r"\$\$.*?\$\$|\$(?:[^$\\]|\\.)*\$|\\\[.*?\\\]|\\\(.*?\\\)"
 _BREAK = re.compile(r"(?<=[^\W\d_])(?:\\-|-)[ \t]*\n[ \t]*(?:%+[ \t]*)?(?=[^\W\d_])|\\[-/]")
 _NOISE = re.compile(rf"\\(?:{_SILENT}){_OPTS}{_ARG}|\\footnote{_OPTS}\{{[^{{}}]{{0,80}}\}}|\\(?:begin|end)[ \t]*\{{[^{{}}]*\}}(?:\[[^\]\n]*\])?|{_MATH}", re.S)
 _COMMAND = re.compile(r"\\([A-Za-z@]+)\*?(?:[ \t]*\{\})?")
-_WORD = re.compile("[a-z]+")
+_WORD = re.compile("[a-z0-9]+")
+# in other scripts than Latin an ideograph or kana is a word, and letters and digits make runs
+_ANY_WORD = re.compile("[\u3040-\u30ff\u3400-\u9fff]|[^\\W_\u3040-\u30ff\u3400-\u9fff]+")
 
 
 def macros(text: str) -> dict[str, str]:
@@ -60,6 +62,7 @@ def source_words(text: str) -> list[str]:
     text = _COMMAND.sub(lambda m: f" {own[m[1]]} " if m[1] in own else " ", text).lower()
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        return _ANY_WORD.findall(text)
     return _WORD.findall(text)
 
 
