@@ -16,9 +16,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached share of each source."""
+    """Target, fitted rate and the share that the copies reached, of each source."""
     out = _mixture(spark, sf_dir).sources
-    return out.select("source", "weight", "max_repeats", "size", F.round("soft_size", 0).alias("soft_size"), F.round("reached", 0).alias("reached"), F.round("share", 4).alias("share"), "falls_short")
+    return out.select("source", "weight", "max_repeats", "size", F.round("soft_size", 0).alias("soft_size"), F.round("rate", 4).alias("rate"), F.round("expected", 0).alias("expected"), F.round("reached", 0).alias("reached"), F.round("share", 4).alias("share"), "falls_short", "converged")
 
 
 def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
