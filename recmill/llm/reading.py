@@ -114,19 +114,16 @@ def reading_levels(documents: DataFrame, ratings: DataFrame) -> DataFrame:
     return out.withColumn("level", level).withColumn("difficulty", F.col("p_middle") / 2 + F.col("p_demanding"))
 
 
-#: Calibrated probability below which a level is ruled out before the exact check.
-RULED_OUT = 0.02
 #: Fixed values of the exact check: words a sentence, letters a word, words of prose.
 PLAIN, DEMANDING, LEAST_WORDS = (14, 4.8), (24, 6.2), 100
 
 
 def clear_levels(levels: DataFrame) -> DataFrame:
-    """(doc_id, level): documents that the models allow to be plain or demanding and whose counts confirm it."""
-    known = levels.where(F.col("n_words") >= LEAST_WORDS)
+    """(doc_id, level): documents that the models call plain or demanding and whose counts confirm it."""
     wps, lpw = F.col("n_words") / F.col("n_sentences"), F.col("n_letters") / F.col("n_words")
-    plain = (F.col("p_plain") >= RULED_OUT) & (wps < PLAIN[0]) & (lpw < PLAIN[1])
-    hard = (F.col("p_demanding") >= RULED_OUT) & (wps > DEMANDING[0]) & (lpw > DEMANDING[1])
-    return known.select("doc_id", F.when(plain, "plain").when(hard, "demanding").alias("level")).where("level is not null")
+    plain = (F.col("level") == "plain") & (wps < PLAIN[0]) & (lpw < PLAIN[1])
+    hard = (F.col("level") == "demanding") & (wps > DEMANDING[0]) & (lpw > DEMANDING[1])
+    return levels.where((F.col("n_words") >= LEAST_WORDS) & (plain | hard)).select("doc_id", "level")
 
 
 def profile(levels: DataFrame, by: str) -> DataFrame:
