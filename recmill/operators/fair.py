@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,29 +51,24 @@ def adjusted_alpha(n: int, p: float, alpha: float) -> float:
 def fair_rerank(df: DataFrame, keys: Sequence[str], n: int, p: float = 0.5, alpha: float = 0.1, protected: str = "protected", adjust: bool = True, item: str = "item_id", configured: int | None = None) -> DataFrame:
     """The best n of each list so that every prefix holds enough protected items.
 
-    Only the best n protected and the best n other items of a list can be used, so that many at most meet
-    in one task. Lists without enough protected items take what there is.
+    Lists without enough protected items take what there is. The j-th protected item has its place where
+    better items leave it (j and the better unprotected ones), or at its deadline, the first prefix that
+    must hold j; the others fill the places between. Only the best n of either kind of a list take part.
     """
     from recmill.operators.lists import missing_to_null
 
     if configured is not None and n > configured:
         raise ValueError(f"n is above the configured {configured}")
     table = minimum_table(n, p, adjusted_alpha(n, p, alpha) if adjust else alpha)
-    from pyspark.sql import Window
-
-    known = df.where(missing_to_null(F.col("score")).isNotNull()).withColumn(protected, F.coalesce(F.col(protected).cast("boolean"), F.lit(False)))
-    best = known.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, protected).orderBy(F.desc("score"), item))).where(F.col("_r") <= n).drop("_r", "rank")
-
-    def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", item], ascending=[False, True], kind="stable")
-        queue = {True: pdf.index[pdf[protected]].tolist(), False: pdf.index[~pdf[protected]].tolist()}
-        out, have = [], 0
-        for k in range(min(n, len(pdf))):
-            a, b = queue[True][:1], queue[False][:1]
-            take = bool(a) and (have < table[k] or not b or (-pdf.score[a[0]], pdf[item][a[0]]) < (-pdf.score[b[0]], pdf[item][b[0]]))
-            out.append(queue[take].pop(0))
-            have += take
-        return pdf.loc[out].assign(rank=range(1, len(out) + 1))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in best.dtypes) + ", rank int"
-    return best.groupBy(*keys).applyInPandas(rerank, schema)
+    # first prefix that must hold j protected items; needs grow by one at most, so deadlines ascend
+    deadlines = [next(k for k, m in enumerate(table, 1) if m >= j) for j in range(1, table[-1] + 1)] if table else []
+    known = df.where(missing_to_null(F.col("score")).isNotNull()).drop("rank").withColumn(protected, F.coalesce(F.col(protected).cast("boolean"), F.lit(False)))
+    kind, order = Window.partitionBy(*keys, protected), [F.desc("score"), F.col(item)]
+    best = known.withColumn("_r", F.row_number().over(kind.orderBy(*order))).where(F.col("_r") <= n)
+    whole = Window.partitionBy(*keys)
+    better = F.sum((~F.col(protected)).cast("int")).over(whole.orderBy(*order, "_r").rowsBetween(Window.unboundedPreceding, 0))
+    deadline = F.get(F.array(*map(F.lit, deadlines)), F.col("_r") - 1) if deadlines else F.lit(None).cast("int")
+    # how many unprotected items stand before a protected one; an unprotected one stands after those of its own kind
+    after = F.when(F.col(protected), F.least(F.col("_r") + better, deadline) - F.col("_r")).otherwise(F.col("_r"))
+    ranked = best.withColumn("_a", after).withColumn("rank", F.row_number().over(whole.orderBy("_a", protected, "_r")).cast("int"))
+    return ranked.where(F.col("rank") <= n).drop("_a", "_r")

@@ -229,25 +229,27 @@ def stochastic_top_n(df: DataFrame, keys: Sequence[str], n: int | None = None, t
 def sample_negatives(rows: DataFrame, observed: DataFrame, items: DataFrame, n: int = 1, attempts: int = 10, popular: bool = False, verify: bool = True, seed: int = 0, key: str = "user_id", item: str = "item_id") -> DataFrame:
     """(row columns, draw, item): n items per row that its key was not observed with.
 
-    Each round draws for the places still open by hash (uniformly from ``items``, or by popularity: the item
-    of a random observation) and throws out observed ones; after ``attempts`` rounds the last draw stays.
+    A draw is by hash (uniformly from ``items``, or by popularity: the item of a random observation). Where the
+    first one hits an observed item, the further ``attempts`` are made at once and the first good one, or else
+    the last, is kept.
     """
     from recmill.operators.order import number_rows
     from recmill.session import cut
 
     pool = cut(number_rows(observed.select(key, item) if popular else items.select(item).distinct(), *([key, item] if popular else [item]), name="_i"), "pool")
     size = pool.count()
-    open_ = number_rows(rows, *rows.columns, name="_case").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    done = None
-    seen = observed.select(key, item).distinct()
-    for a in range(attempts if verify else 1):
-        open_ = cut(open_, "open")
-        at = F.pmod(F.xxhash64("_case", "draw", F.lit(seed), F.lit(a)), F.lit(size))
-        drawn = open_.withColumn("_i", at).join(pool.select("_i", item), "_i").drop("_i")
-        good = drawn.join(seen, [key, item], "left_anti") if verify and a < attempts - 1 else drawn
-        good = cut(good, "good")
-        done = good if done is None else done.unionByName(good)
-        open_ = open_.join(good.select("_case", "draw"), ["_case", "draw"], "left_anti")
-        if not verify or a == attempts - 1 or open_.isEmpty():
-            break
-    return done.drop("_case")
+    cases = number_rows(rows, *rows.columns, name="_case").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    seen = observed.select(key, item).distinct().withColumn("_bad", F.lit(True))
+
+    def drawn(df: DataFrame) -> DataFrame:
+        at = F.conv(F.substring(hash_order(seed, "_case", "draw", "_a"), 1, 12), 16, 10).cast("long") % F.lit(size)
+        return df.withColumn("_i", at).join(pool.select("_i", item), "_i").drop("_i")
+
+    first = drawn(cases.withColumn("_a", F.lit(0)))
+    if not verify or attempts < 2:
+        return first.drop("_case", "_a")
+    first = cut(first.join(seen, [key, item], "left"), "drawn")
+    again = drawn(first.where("_bad").drop(item, "_bad").withColumn("_a", F.explode(F.sequence(F.lit(1), F.lit(attempts - 1))))).join(seen, [key, item], "left")
+    kept = Window.partitionBy("_case", "draw").orderBy(F.coalesce(F.col("_bad"), F.lit(False)) & (F.col("_a") < attempts - 1), "_a")
+    again = again.withColumn("_k", F.row_number().over(kept)).where("_k = 1").drop("_k")
+    return first.where("_bad is null").unionByName(again).drop("_case", "_a", "_bad")

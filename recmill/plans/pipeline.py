@@ -48,13 +48,16 @@ class Component:
 
 
 class HistoryLookup(Component):
-    """The training interactions of the queries' users."""
+    """The interactions of the queries' users: those that come with the query, else those of training."""
 
     def train(self, log: DataFrame, options: TrainingOptions) -> None:
         self.log = log
 
-    def __call__(self, query: DataFrame) -> DataFrame:
-        return self.log.join(query.select("user_id").distinct(), "user_id", "left_semi")
+    def __call__(self, query: DataFrame, past: DataFrame | None = None) -> DataFrame:
+        found = self.log.join(query.select("user_id").distinct(), "user_id", "left_semi")
+        if past is None:
+            return found
+        return found.join(past.select("user_id").distinct(), "user_id", "left_anti").unionByName(past, allowMissingColumns=True)
 
 
 class TrainingCandidates(Component):
@@ -68,6 +71,8 @@ class TrainingCandidates(Component):
 
 
 class ScorerComponent(Component):
+    """Scores pairs by a model. Users who come with a history of their own are scored by it, the others as trained."""
+
     def __init__(self, scorer: Scorer):
         self.scorer = scorer
         self.config = {"class": import_path(type(scorer)), **_plain(scorer.config)}
@@ -75,8 +80,12 @@ class ScorerComponent(Component):
     def train(self, log: DataFrame, options: TrainingOptions) -> None:
         self.scorer.train(log, options)
 
-    def __call__(self, items: DataFrame) -> DataFrame:
-        return self.scorer.score(items)
+    def __call__(self, items: DataFrame, past: DataFrame | None = None) -> DataFrame:
+        if past is None:
+            return self.scorer.score(items)
+        users = past.where("user_id is not null").select("user_id").distinct()
+        with_past, others = items.join(users, "user_id", "left_semi"), items.join(users, "user_id", "left_anti")
+        return self.scorer.score(with_past, past).unionByName(self.scorer.score(others), allowMissingColumns=True)
 
 
 class TopNRanker(Component):
@@ -341,22 +350,27 @@ class Pipeline:
 
 
 def topn_builder(scorer: Scorer, n: int | None = None, ranker: Component | None = None, fallback: Scorer | None = None, reranker: Component | None = None) -> PipelineBuilder:
-    """query -> history -> candidates -> scorer -> ranker (-> reranker); with a fallback also a rating predictor."""
+    """query -> history -> candidates -> scorer -> ranker (-> reranker); with a fallback also a rating predictor.
+
+    The input ``past`` (user_id, item_id, rating, ...) gives users a history of their own: it reaches the
+    candidates and all scorers, so new users can be served and known ones seen anew.
+    """
     b = PipelineBuilder("topn")
     q = b.create_input("query", DataFrame)
+    past = b.create_input("past", DataFrame, None)
     items = b.create_input("items", DataFrame, None)
     size = b.create_input("n", int, None)
-    h = b.add_component("history-lookup", HistoryLookup(), query=q)
+    h = b.add_component("history-lookup", HistoryLookup(), query=q, past=past)
     c = b.add_component("candidate-selector", TrainingCandidates(), query=q, history=h)
     cand = b.use_first_of("candidates", items, c)
-    s = b.add_component("scorer", ScorerComponent(scorer), items=cand)
+    s = b.add_component("scorer", ScorerComponent(scorer), items=cand, past=past)
     r = b.add_component("ranker", ranker or TopNRanker(n=n), items=s, n=size)
     if reranker is not None:
         r = b.add_component("reranker", reranker, items=r)
     b.alias("recommender", r)
     b.default_component(r)
     if fallback is not None:
-        f = b.add_component("fallback-predictor", ScorerComponent(fallback), items=cand)
+        f = b.add_component("fallback-predictor", ScorerComponent(fallback), items=cand, past=past)
         b.add_component("rating-predictor", FallbackFill(), primary=s, backup=f)
     return b
 
@@ -370,9 +384,10 @@ def predict_pipeline(scorer: Scorer, fallback: bool = True) -> Pipeline:
 
     b = PipelineBuilder("predict")
     items = b.create_input("items", DataFrame)
-    s = b.add_component("scorer", ScorerComponent(scorer), items=items)
+    past = b.create_input("past", DataFrame, None)
+    s = b.add_component("scorer", ScorerComponent(scorer), items=items, past=past)
     if fallback:
-        f = b.add_component("fallback-predictor", ScorerComponent(BiasScorer()), items=items)
+        f = b.add_component("fallback-predictor", ScorerComponent(BiasScorer()), items=items, past=past)
         s = b.add_component("rating-predictor", FallbackFill(), primary=s, backup=f)
     b.alias("predictor", s)
     b.default_component(s)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recmill.operators import lists as li
-from recmill.operators.fair import fair_rerank
+from recmill.operators.fair import adjusted_alpha, fair_rerank, minimum_table
 from recmill.queries.common import LENGTH, RECS, SCORED, TASTES, recs, registry, scored, tastes
 
 QUERIES, SQL, register = registry()
@@ -90,18 +90,47 @@ def linear_weights(spark, d):
     return li.rescale(scored(spark, d), KEYS, "linear").select(*KEYS, "item_id", F.round("weight", 6).alias("weight"))
 
 
-@register()
+_UNIFORM = "(('0x' || substr(md5(concat_ws('|', {keys}, '{seed}')), 1, 12))::bigint + 0.5::double) / 281474976710656"
+
+
+@register(f"""with {SCORED}, f as (select * from scored where not isinf(score)), e as (select *, exp(score::double - max(score::double) over (partition by algorithm, user_id)) as e from f),
+k as (select *, ln({_UNIFORM.format(keys="algorithm, user_id, item_id", seed=3)}) / greatest(e / sum(e) over (partition by algorithm, user_id), 2.2250738585072014e-308) as k from e),
+r as (select algorithm, user_id, item_id, row_number() over (partition by algorithm, user_id order by k desc, item_id)::int as rank from k) select * from r where rank <= 10""")
 def stochastic_top_n(spark, d):
     return li.stochastic_top_n(scored(spark, d), KEYS, 10, seed=3).select(*KEYS, "item_id", "rank")
 
 
-@register()
+_NEED = ", ".join(f"({k}, {m})" for k, m in enumerate(minimum_table(10, 0.4, adjusted_alpha(10, 0.4, 0.1)), 1))
+
+
+# the greedy rule place by place: the next protected item if the prefix needs one or it is the better one
+@register(f"""with recursive {SCORED}, need(k, m) as (values {_NEED}),
+q as (select *, item_id % 3 = 0 as protected, row_number() over (partition by algorithm, user_id, item_id % 3 = 0 order by score desc, item_id) as r from scored),
+l as (select distinct algorithm, user_id from q),
+s as (
+  select algorithm, user_id, 0 as k, 0 as h, null::int as item_id, null::boolean as protected from l
+  union all
+  select s.algorithm, s.user_id, s.k + 1, s.h + (case when take then 1 else 0 end), case when take then p_item else u_item end, take
+  from (select s.*, p.item_id as p_item, u.item_id as u_item,
+          p.item_id is not null and (s.h < n.m or u.item_id is null or p.score > u.score or (p.score = u.score and p.item_id < u.item_id)) as take
+        from s join need n on n.k = s.k + 1
+        left join q p on p.algorithm = s.algorithm and p.user_id = s.user_id and p.protected and p.r = s.h + 1
+        left join q u on u.algorithm = s.algorithm and u.user_id = s.user_id and not u.protected and u.r = s.k - s.h + 1) s
+  where p_item is not null or u_item is not null
+)
+select algorithm, user_id, item_id, protected, k::int as rank from s where k > 0""")
 def fair_top_n(spark, d):
     s = scored(spark, d).withColumn("protected", F.col("item_id") % 3 == 0)
     return fair_rerank(s, KEYS, 10, 0.4).select(*KEYS, "item_id", "protected", "rank")
 
 
-@register()
+@register(f"""with {TASTES}, c as (select user_id, item_id as positive, row_number() over (order by user_id, item_id) - 1 as c from tastes),
+i as (select item_id, row_number() over (order by item_id) - 1 as i from (select distinct item_id from tastes)),
+a as (select c.*, d.draw, a.a, ('0x' || substr(md5(concat_ws('|', c, draw, a, '0')), 1, 12))::bigint % (select count(*) from i) as i
+      from c, (select unnest([0, 1]) as draw) d, (select unnest(range(10)) as a) a),
+g as (select a.user_id, positive, draw, item_id, row_number() over (partition by c, draw order by (t.user_id is not null and a < 9)::int, a) as k
+      from a join i using (i) left join tastes t using (user_id, item_id))
+select user_id, positive, draw::int as draw, item_id from g where k = 1""")
 def negative_samples(spark, d):
     t = tastes(spark, d)
     return li.sample_negatives(t.select("user_id", F.col("item_id").alias("positive")), t, t.select("item_id"), 2).select("user_id", "positive", "draw", "item_id")

@@ -153,7 +153,11 @@ def predict_with_fallback(spark, d):
     return out.select("user_id", "item_id", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
-@register()
+@register(f"""with {_RULES}, q as (select distinct user_id from pairs), todo as (select q.user_id, n.item_id from q, n where (q.user_id, n.item_id) not in (select (user_id, item_id) from t)),
+f as (select x.user_id, r.item_id, sum(r.p) as s from t x join q using (user_id) join r on r.ref = x.item_id group by 1, 2),
+o as (select c.user_id, c.item_id, row_number() over (partition by c.user_id order by (coalesce(f.s, 0) / k.k)::float desc, c.item_id)::int as rank
+      from todo c join k using (user_id) left join f using (user_id, item_id))
+select user_id, item_id, rank from o where rank <= 10""")
 def pipeline_recommend(spark, d):
     """The standard top-N pipeline with association rules, for all users of the lists at once."""
     p = topn_pipeline(AssociationScorer(), 10)
@@ -161,6 +165,12 @@ def pipeline_recommend(spark, d):
     return p.run("recommender", query=pairs(spark, d).select("user_id").distinct()).select("user_id", "item_id", "rank")
 
 
+_MODEL_SQL = {
+    # the seed 0 of the model's configuration
+    "model_random": f"with {PAIRS} select user_id, item_id, round(((('0x' || substr(md5(concat_ws('|', user_id, item_id, '0')), 1, 12))::bigint + 0.5::double) / 281474976710656)::float::double, 4) as score from pairs",
+}
+
+
 def _model(name: str, make):
     def run(spark, d):
         p = topn_pipeline(make())
@@ -168,7 +178,7 @@ def _model(name: str, make):
         return score_batch(p, pairs(spark, d)).select("user_id", "item_id", F.round(F.col("score").cast("double"), 4).alias("score"))
 
     run.__name__ = name
-    register()(run)
+    register(_MODEL_SQL.get(name))(run)
 
 
 for _name, _make in {
