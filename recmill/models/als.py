@@ -168,6 +168,18 @@ class _ALS(Scorer):
         own = solve_side(rows, "user_id", self.config.embedding_size, self.config.regularization, self.scale_by_n, self.base(self.tables["item"]))
         return own.unionByName(have.join(own.select("user_id"), "user_id", "left_anti")) if self.config.user_embeddings else own
 
+    def reach(self, users: DataFrame, history: DataFrame, n: int) -> DataFrame | None:
+        """Users with a vector of their own; those who would have to be folded in are left to the product."""
+        from recmill.operators.recommend import best_products
+
+        if not users.join(self.tables["user"], "user_id", "left_anti").isEmpty():
+            return None
+        mine = self.tables["user"].join(users.select("user_id").distinct(), "user_id", "left_semi")
+        return best_products(mine, self._item_terms(), known_pairs(history), n, self.config.embedding_size)
+
+    def _item_terms(self) -> DataFrame:
+        return self.tables["item"].withColumn("b", F.lit(0.0))
+
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         u, i = self._users(pairs, history).withColumnRenamed("vec", "_u"), self.tables["item"].withColumnRenamed("vec", "_v")
         return float_score(pairs.join(u, "user_id", "left").join(i, "item_id", "left").withColumn("score", dot("_u", "_v")).select(*pairs.columns, "score"))
@@ -182,6 +194,10 @@ class BiasedMFScorer(_ALS):
         self.bias = BiasScorer(damping=self.config.damping).train(log)
         super().fit(log, options)
 
+    def _item_terms(self) -> DataFrame:
+        bias = self.bias.tables.get("item")
+        return super()._item_terms() if bias is None else self.tables["item"].join(bias, "item_id", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+
     def rows(self, log: DataFrame) -> DataFrame:
         return self.bias.residuals(log).groupBy("user_id", "item_id").agg(F.lit(1.0).alias("w"), F.avg("r").alias("y"))
 

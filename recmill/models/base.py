@@ -56,6 +56,11 @@ class Scorer:
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         raise NotImplementedError
 
+    def reach(self, users: DataFrame, history: DataFrame, n: int) -> DataFrame | None:
+        """(user_id, item_id) pairs, none of them in ``history``, among which are each user's best ``n``; None where
+        only the product of users and items would do."""
+        return None
+
     def parameters(self) -> dict[str, DataFrame]:
         return dict(self.tables)
 
@@ -70,6 +75,20 @@ class Scorer:
         self.tables = {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def reach_by_rules(rules: DataFrame, items: DataFrame | None, users: DataFrame, history: DataFrame, n: int) -> DataFrame:
+    """Pairs that ``rules(ref, item_id)`` lead to from the users' history; with ``items``, which score 0 unreached,
+    also each user's n least items that are neither seen nor reached."""
+    from recmill.operators.recommend import best_unseen
+
+    seen = known_pairs(history).select("user_id", "item_id").distinct()
+    led = seen.select("user_id", F.col("item_id").alias("ref")).join(rules.select("ref", "item_id"), "ref").select("user_id", "item_id").distinct()
+    fresh = led.join(seen, ["user_id", "item_id"], "left_anti").join(users.select("user_id").distinct(), "user_id", "left_semi")
+    if items is None:
+        return fresh
+    rest = best_unseen(items.select("item_id", F.lit(0.0).alias("score")), seen.unionByName(fresh), users, n)
+    return fresh.unionByName(rest.select("user_id", "item_id"))
+
+
 def known_pairs(log: DataFrame, rated: bool = False) -> DataFrame:
     """Rows with a user and an item (and a rating)."""
     df = log.where("user_id is not null and item_id is not null")

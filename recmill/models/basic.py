@@ -88,6 +88,11 @@ class PopScorer(Scorer):
             raise ValueError(f"unknown popularity {self.config.score}")
         self.tables["pop"] = out.select("item_id", "score")
 
+    def reach(self, users: DataFrame, history: DataFrame, n: int) -> DataFrame:
+        from recmill.operators.recommend import best_unseen
+
+        return best_unseen(float_score(self.tables["pop"]), known_pairs(history), users, n).select("user_id", "item_id")
+
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         return float_score(pairs.join(self.tables["pop"], "item_id", "left"))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recmill.models.base import Scorer, TrainingOptions, float_score, known_pairs
+from recmill.models.base import Scorer, TrainingOptions, float_score, known_pairs, reach_by_rules
 from recmill.operators.pairs import group_pairs, side_pairs
 from recmill.operators.stats import cooccurrence
 from recmill.session import cut
@@ -58,6 +58,9 @@ class ItemKNNScorer(Scorer):
             sims = sims.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= self.config.save_nbrs).drop("_k")
         self.tables["sims"] = cut(sims, "sims")
 
+    def reach(self, users: DataFrame, history: DataFrame, n: int) -> DataFrame:
+        return reach_by_rules(self.tables["sims"].select(F.col("j").alias("ref"), F.col("i").alias("item_id")), None, users, history, n)
+
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Also gives nbr_count. Too few neighbours give null."""
         explicit = self.config.feedback == "explicit"
@@ -142,6 +145,9 @@ class AssociationScorer(Scorer):
             rule = rule.join(n.select(F.col("item_id").alias("item_b"), F.col("n").alias("nb")), "item_b").crossJoin(F.broadcast(users)).withColumn("v", F.col("v") * F.col("n_users") / (F.col("nb") + k))
         self.tables |= {"rules": cut(rule.select(F.col("item_a").alias("ref"), F.col("item_b").alias("item_id"), "v"), "rules"), "items": n.select("item_id"), "history": d}
 
+    def reach(self, users: DataFrame, history: DataFrame, n: int) -> DataFrame:
+        return reach_by_rules(self.tables["rules"], self.tables["items"], users, history, n)
+
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         past = known_pairs(history).select("user_id", "item_id").distinct() if history is not None else self.tables["history"]
         past = past.join(self.tables["items"], "item_id", "left_semi").select("user_id", F.col("item_id").alias("ref"))

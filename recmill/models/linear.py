@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recmill.models.base import Scorer, TrainingOptions, float_score, known_pairs
+from recmill.models.base import Scorer, TrainingOptions, float_score, known_pairs, reach_by_rules
 from recmill.operators.stats import cooccurrence
 from recmill.session import cut
 
@@ -20,6 +20,9 @@ MAX_DENSE_ITEMS = 20_000
 class _Weights(Scorer):
     """score = sum of weights(ref, item) over the history."""
 
+    def reach(self, users: DataFrame, history: DataFrame, n: int) -> DataFrame:
+        return reach_by_rules(self.tables["weights"], self.tables["items"], users, history, n)
+
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         past = known_pairs(history) if history is not None else self.tables["history"]
         past = past.select("user_id", F.col("item_id").alias("ref")).distinct()

@@ -8,22 +8,79 @@ import hashlib
 import importlib
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, is_dataclass
 from graphlib import CycleError, TopologicalSorter
-from typing import Any
+from typing import Any, get_origin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recmill.models.base import Scorer, TrainingOptions
 from recmill.operators import lists
+from recmill.session import cut
 
 
 class PipelineError(ValueError):
     pass
 
 
+class Lazy:
+    """An input that is made only when the component calls ``get``: annotate the parameter with this class."""
+
+    def __init__(self, make: Callable[[], Any]):
+        self._make, self._made = make, []
+
+    def get(self) -> Any:
+        if not self._made:
+            self._made.append(self._make())
+        return self._made[0]
+
+
+class PipelineState(Mapping):
+    """Results by node name; aliases lead to their node."""
+
+    def __init__(self, state: dict | None = None, aliases: dict | None = None, default: str | None = None, meta: dict | None = None):
+        self._state, self.aliases, self.default, self.meta = dict(state or {}), dict(aliases or {}), default, dict(meta or {})
+
+    def __getitem__(self, name: str) -> Any:
+        return self._state[self.aliases.get(name, name)]
+
+    def __contains__(self, name: object) -> bool:
+        return self.aliases.get(name, name) in self._state
+
+    def __iter__(self):
+        return iter(self._state)
+
+    def __len__(self) -> int:
+        return len(self._state)
+
+    @property
+    def default_value(self) -> Any:
+        """The result of the default node; a KeyError where there is none."""
+        if self.default is None:
+            raise KeyError("no default node")
+        return self[self.default]
+
+
+def accepts(types: Sequence, value: Any) -> bool:
+    """Whether a value may go where ``types`` are asked for: no types accept anything, None among them nothing at all,
+    int goes for float, and what cannot be checked (strings, generics of unknown contents) is accepted."""
+    if not types:
+        return True
+    for t in types:
+        if t is None or t is type(None):
+            if value is None:
+                return True
+        elif t is Any or isinstance(t, str):
+            return True
+        else:
+            plain = get_origin(t) or t
+            if not isinstance(plain, type) or isinstance(value, plain) or (plain is float and isinstance(value, int)):
+                return True
+    return False
+
+
 @dataclass
 class Node:
     name: str
@@ -46,6 +103,11 @@ class Component:
 
         return [p for p in inspect.signature(self.__call__).parameters]
 
+    def lazy_inputs(self) -> set[str]:
+        import inspect
+
+        return {n for n, p in inspect.signature(self.__call__).parameters.items() if p.annotation is Lazy or str(p.annotation).split("[")[0].split(".")[-1] == "Lazy"}
+
 
 class HistoryLookup(Component):
     """The interactions of the queries' users: those that come with the query, else those of training."""
@@ -61,13 +123,24 @@ class HistoryLookup(Component):
 
 
 class TrainingCandidates(Component):
-    """All training items but the query's (exclude="query") or none left out (exclude=None)."""
+    """All training items but the query's (exclude="query") or none left out (exclude=None).
+
+    Where it is told what the candidates are for (reach="scorer node"; limit=n, or n with the run), it asks that
+    scorer for candidates that hold the best n instead, so that users and items are not multiplied.
+    """
+
+    scorer: Scorer | None = None
 
     def train(self, log: DataFrame, options: TrainingOptions) -> None:
         self.items = log.where("item_id is not null").select("item_id").distinct()
 
-    def __call__(self, query: DataFrame, history: DataFrame) -> DataFrame:
-        return lists.candidates(query, self.items, None if self.config.get("exclude", "query") in (None, "none") else history)
+    def __call__(self, query: DataFrame, history: DataFrame, n: int | None = None, past: DataFrame | None = None) -> DataFrame:
+        n, keep = n if n is not None else self.config.get("limit"), self.config.get("exclude", "query") in (None, "none")
+        if self.scorer is not None and n is not None and n >= 0 and not keep and past is None:
+            found = self.scorer.reach(query.select("user_id").distinct(), history, n)
+            if found is not None:
+                return found
+        return lists.candidates(query, self.items, None if keep else history)
 
 
 class ScorerComponent(Component):
@@ -118,6 +191,10 @@ def import_path(obj) -> str:
     return f"{obj.__module__}:{obj.__qualname__}"
 
 
+def type_name(t) -> str:
+    return "none" if t is None or t is type(None) else t if isinstance(t, str) else import_path(get_origin(t) or t)
+
+
 def from_path(path: str):
     module, _, name = path.partition(":")
     obj = importlib.import_module(module)
@@ -216,12 +293,15 @@ class PipelineBuilder:
         self.validate()
         nodes = self.wired()
         for n in nodes.values():
-            if n.kind == "component" and isinstance(n.value, Component) and cache is not None:
+            reach = n.value.config.get("reach") if isinstance(n.value, TrainingCandidates) else None
+            if reach is not None and reach in nodes:
+                n.value.scorer = nodes[reach].value.scorer
+            elif n.kind == "component" and isinstance(n.value, Component) and cache is not None:
                 n.value = cache.setdefault((import_path(type(n.value)), json.dumps(n.value.config, sort_keys=True, default=str)), n.value)
         return Pipeline(self, nodes)
 
     def build_config(self, include_hash: bool = True) -> dict:
-        d = {"meta": {"name": self.name, "version": self.version}, "inputs": [n.name for n in self.nodes.values() if n.kind == "input"], "literals": {n.name: n.value for n in self.nodes.values() if n.kind == "literal"}, "components": {}, "aliases": self.aliases, "defaults": self.defaults, "default": self.default_node}
+        d = {"meta": {"name": self.name, "version": self.version}, "inputs": {n.name: [type_name(t) for t in n.types] for n in self.nodes.values() if n.kind == "input"}, "literals": {n.name: n.value for n in self.nodes.values() if n.kind == "literal"}, "components": {}, "aliases": self.aliases, "defaults": self.defaults, "default": self.default_node}
         for n in self.nodes.values():
             if n.kind == "component":
                 code = import_path(type(n.value)) if isinstance(n.value, Component) else import_path(n.value)
@@ -235,8 +315,8 @@ class PipelineBuilder:
     @classmethod
     def from_config(cls, d: dict) -> PipelineBuilder:
         b = cls(d["meta"].get("name"), d["meta"].get("version"))
-        for n in d["inputs"]:
-            b.create_input(n)
+        for n, types in d["inputs"].items():
+            b.create_input(n, *[None if t == "none" else from_path(t) for t in types])
         for n, v in d["literals"].items():
             b.literal(v, n)
         for n, c in d["components"].items():
@@ -279,6 +359,7 @@ class Pipeline:
     def __init__(self, builder: PipelineBuilder, nodes: dict[str, Node]):
         self.builder, self.nodes = builder, nodes
         self.profile: list[dict] = []
+        self.measured = False
 
     def component_names(self) -> list[str]:
         return [n for n in self.builder.validate() if self.nodes[n].kind == "component"]
@@ -296,7 +377,13 @@ class Pipeline:
         names = [node or self.builder.default_node or list(self.nodes)[-1]]
         return self.run_all(*names, **inputs)[names[0]]
 
-    def run_all(self, *names: str, **inputs) -> dict:
+    def measure(self, on: bool = True) -> Pipeline:
+        """From now on every component's frame is written before the next one uses it, and the profile has the time
+        that took, not that of building a plan."""
+        self.measured = on
+        return self
+
+    def run_all(self, *names: str, **inputs) -> PipelineState:
         """Results by name; a node runs once however many need it, and only if something needs it."""
         state: dict[str, Any] = {}
 
@@ -309,25 +396,31 @@ class Pipeline:
                 if name not in inputs and type(None) not in n.types and None not in n.types:
                     raise PipelineError(f"input {name} is missing")
                 out = inputs.get(name)
+                if not accepts(n.types, out):
+                    raise PipelineError(f"input {name} is a {type(out).__name__}")
             elif n.kind == "literal":
                 out = n.value
             elif n.kind == "first_of":
                 out = get(n.inputs["primary"])
                 out = get(n.inputs["fallback"]) if out is None else out
             else:
-                args = {}
+                args, late = {}, n.value.lazy_inputs() if isinstance(n.value, Component) else set()
                 for i, source in n.inputs.items():
-                    v = get(source)
+                    v = Lazy(lambda source=source: get(source)) if i in late else get(source)
                     for _, hook in sorted(self.builder.hooks, key=lambda h: h[0]):
                         v = hook(n, i, v)
                     args[i] = v
                 began = time.perf_counter_ns()
                 out = n.value(**args)
+                if self.measured and isinstance(out, DataFrame):
+                    out = cut(out, "stage")
                 self.profile.append({"node": name, "ns": time.perf_counter_ns() - began})
             state[name] = out
             return out
 
-        return {x: get(x) for x in (names or self.component_names())}
+        for x in names or self.component_names():
+            get(x)
+        return PipelineState(state, self.builder.aliases, self.builder.default_node, {"name": self.builder.name, "version": self.builder.version})
 
     def clone(self) -> Pipeline:
         """An untrained copy."""
@@ -361,7 +454,9 @@ def topn_builder(scorer: Scorer, n: int | None = None, ranker: Component | None
     items = b.create_input("items", DataFrame, None)
     size = b.create_input("n", int, None)
     h = b.add_component("history-lookup", HistoryLookup(), query=q, past=past)
-    c = b.add_component("candidate-selector", TrainingCandidates(), query=q, history=h)
+    # a ranker other than the plain one may draw on any candidate
+    plain = reranker is None and (ranker is None or type(ranker) is TopNRanker)
+    c = b.add_component("candidate-selector", TrainingCandidates(reach="scorer", limit=ranker.config.get("n") if ranker else n) if plain else TrainingCandidates(), query=q, history=h, n=size, past=past)
     cand = b.use_first_of("candidates", items, c)
     s = b.add_component("scorer", ScorerComponent(scorer), items=cand, past=past)
     r = b.add_component("ranker", ranker or TopNRanker(n=n), items=s, n=size)
