@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recmill.data.dataset import Dataset
-from recmill.data.schema import Attribute, EntityClass, RelationshipClass, Schema, check_name, id_col
+from recmill.data.schema import ADDED, Attribute, EntityClass, RelationshipClass, Schema, check_name, id_col
 from recmill.errors import DataError, DataWarning
 
 
@@ -41,6 +41,14 @@ class DatasetBuilder:
         self.schema = Schema.from_json(start.schema.to_json()) if start else Schema(name)
         self.entities: dict[str, DataFrame] = dict(start.entity_tables) if start else {}
         self.relations: dict[str, DataFrame] = dict(start.relation_tables) if start else {}
+        # ids that are added later are numbered after all earlier ones: each addition has a number of its own
+        self._added = 0
+        for e, df in self.entities.items():
+            if ADDED in df.columns:
+                self._added = max(self._added, 1 + (df.agg(F.max(ADDED)).first()[0] or 0))
+            else:
+                self.entities[e] = df.withColumn(ADDED, F.lit(0))
+                self._added = max(self._added, 1)
 
     # -- classes
 
@@ -71,6 +79,11 @@ class DatasetBuilder:
         kind = "string" if source and isinstance(source[0], str) else "long"
         return self.spark.createDataFrame([(x,) for x in source], f"{column} {kind}")
 
+    def _append(self, cls: str, fresh: DataFrame) -> None:
+        fresh, have = fresh.withColumn(ADDED, F.lit(self._added)), self.entities.get(cls)
+        self._added += 1
+        self.entities[cls] = fresh if have is None else have.unionByName(fresh, allowMissingColumns=True)
+
     def add_entities(self, cls: str, source, duplicates: str = "error") -> None:
         """Ids must be integers or strings. Twice the same id in one input is always an error; ids that are
         already there are one unless ``duplicates`` is "update". Other columns become attributes."""
@@ -89,7 +102,7 @@ class DatasetBuilder:
                 self.schema.entities[cls].attributes.setdefault(c, Attribute())
         have = self.entities.get(cls)
         if have is None:
-            self.entities[cls] = df
+            self._append(cls, df)
             return
         if duplicates == "error" and not df.join(have, key, "left_semi").isEmpty():
             raise DataError(f"{key} exists already")
@@ -98,7 +111,8 @@ class DatasetBuilder:
         if shared:  # update the rows that are there
             new = df.select(key, F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in shared])
             have = have.join(new, key, "left").select(key, *[F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(have[c] if c in have.columns else F.lit(None)).alias(c) if c in shared else have[c] for c in dict.fromkeys([*have.columns[0:], *shared]) if c != key])
-        self.entities[cls] = have.unionByName(fresh, allowMissingColumns=True)
+        self.entities[cls] = have
+        self._append(cls, fresh)
 
     def add_relationships(self, cls: str, data: DataFrame, entities: Sequence[str] | Mapping[str, str] | None = None, missing: str = "error", allow_repeats: bool = True, interaction: bool | str = False, remove_repeats: bool | str = False) -> None:
         """Append rows with ``<role>_id`` columns and attributes.
@@ -120,7 +134,7 @@ class DatasetBuilder:
             known = self.entities.get(e)
             if missing == "insert":
                 fresh = ids if known is None else ids.join(known, id_col(e), "left_anti")
-                self.entities[e] = fresh if known is None else known.unionByName(fresh, allowMissingColumns=True)
+                self._append(e, fresh)
             elif missing == "filter":
                 data = data.limit(0) if known is None else data.join(known.select(F.col(id_col(e)).alias(id_col(role))), id_col(role), "left_semi")
             elif known is None or not ids.join(known, id_col(e), "left_anti").isEmpty():
@@ -212,7 +226,7 @@ class DatasetBuilder:
     def build(self) -> Dataset:
         for e in self.schema.entities:
             if e not in self.entities:
-                self.entities[e] = self.spark.createDataFrame([], f"{id_col(e)} long")
+                self.entities[e] = self.spark.createDataFrame([], f"{id_col(e)} long, {ADDED} int")
         return Dataset(self.schema, dict(self.entities), dict(self.relations))
 
     def save(self, path: str, summary: bool = True) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recmill.data.schema import Schema, id_col, num_col
+from recmill.data.schema import ADDED, Schema, id_col, num_col
 from recmill.errors import DataError, FieldError
 from recmill.operators import stats
 from recmill.operators.order import number_rows
@@ -80,6 +80,12 @@ class RelationshipSet:
         """Coalesced: one row per (row, col). Swapped roles give the transposed matrix."""
         return stats.coalesce_repeats(self.log, id_col(row), id_col(col))
 
+    def coo(self, attribute: str | None = None, row: str = "user", col: str = "item"):
+        """(rows, cols, values, shape) as NumPy arrays; see :mod:`recmill.data.export`."""
+        from recmill.data.export import coordinates
+
+        return coordinates(self, attribute, row, col)
+
     def structure(self, row: str = "user", col: str = "item") -> DataFrame:
         return self.log.select(id_col(row), id_col(col)).distinct()
 
@@ -162,10 +168,12 @@ class Dataset:
             raise RuntimeError("default interactions are not between users and items")
 
     def numbering(self, entity: str) -> DataFrame:
-        """(id, num) with dense numbers in id order."""
+        """(id, num) with dense numbers in id order; ids that were added later come after all earlier ones, so numbers
+        stay what they are when a dataset is extended."""
         if entity not in self._numbers:
-            key = id_col(entity)
-            self._numbers[entity] = number_rows(self.entity_tables[entity].select(key), key, name=num_col(entity)).withColumn(num_col(entity), F.col(num_col(entity)).cast("int"))
+            key, df = id_col(entity), self.entity_tables[entity]
+            order = [ADDED, key] if ADDED in df.columns else [key]
+            self._numbers[entity] = number_rows(df.select(*order), *order, name=num_col(entity)).select(key, F.col(num_col(entity)).cast("int").alias(num_col(entity)))
         return self._numbers[entity]
 
     # -- storage
@@ -189,7 +197,7 @@ class Dataset:
         """Markdown: rows, distinct entities per role and values per attribute."""
         out = [f"# {self.name or 'dataset'}", ""]
         for n, df in self.entity_tables.items():
-            attributes = [c for c in df.columns if c != id_col(n)]
+            attributes = [c for c in df.columns if c not in (id_col(n), ADDED)]
             r = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in attributes]).first()
             out += [f"## entity {n}", f"- {r['_n']} entities", *[f"- {c}: {r[c]} values" for c in attributes], ""]
         for n, df in self.relation_tables.items():

@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass, field
 
 VERSION = "2025.2"
 LAYOUTS = ("scalar", "list", "vector", "sparse")
+#: Hidden column of entity tables: the number of the addition that an id came with.
+ADDED = "_added"
 REPEATS = ("forbidden", "allowed", "present")
 
 
