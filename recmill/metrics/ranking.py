@@ -157,18 +157,21 @@ class NDCG(DCG):
 
 
 class RBP(ListMetric):
-    """Weighted hits, over the series sum, or (normalize) over what the test items could reach."""
+    """Weighted hits, over the series sum, or (normalize) over what the test items could reach. With ``weight_field``
+    the lists bring their own weights, and the hits' share of their list's weights is measured."""
 
-    def __init__(self, n: int | None = None, patience: float = 0.85, normalize: bool = False, weight: RankWeight | None = None):
+    def __init__(self, n: int | None = None, patience: float = 0.85, normalize: bool = False, weight: RankWeight | None = None, weight_field: str | None = None):
         super().__init__(n)
-        self.weight, self.normalize = weight or GeometricRankWeight(patience), normalize
+        if weight_field is not None and normalize:
+            raise ValueError("weights of a field have no known best sum to normalize by")
+        self.weight, self.normalize, self.weight_field = weight or GeometricRankWeight(patience), normalize, weight_field
 
     def partials(self):
-        w = self.weight.weight(F.col("rank"))
+        w = self.weight.weight(F.col("rank")) if self.weight_field is None else F.coalesce(F.col(self.weight_field).cast("double"), F.lit(0.0))
         return [F.sum(self.inside(F.when(F.col("rel") == 1, w))), F.sum(self.inside(w)), self.length()]
 
     def final(self, part, n_test):
-        norm = self.weight.series_sum()
+        norm = self.weight.series_sum() if self.weight_field is None else None
         best = self.weight.first(F.least(n_test, part(2))) if self.normalize else F.lit(norm) if norm else part(1)
         return F.when(n_test > 0, F.coalesce(F.try_divide(part(0), best), F.lit(0.0)))
 
