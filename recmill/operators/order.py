@@ -41,6 +41,16 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(counts.select(value, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name)), value, "left")
 
 
+def carry_forward(df: DataFrame, *order, value: str, name: str) -> DataFrame:
+    """The last non-null ``value`` up to each row, in the order of ``order``; null before the first one."""
+    placed = _in_files(df, list(order))
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    lasts = placed.groupBy("_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_row"))).alias("_l"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    carried = lasts.withColumn("_c", F.last("_l", ignorenulls=True).over(earlier)).drop("_l")
+    return placed.join(F.broadcast(carried), "_part").withColumn(name, F.coalesce(inside, F.col("_c"))).drop("_part", "_row", "_c")
+
+
 def group_medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """(keys, name): exact median of ``value``, which has no nulls, for every group. All rows are numbered in the order
     of (keys, value), so a group's middle is at known numbers; no group is sorted or held in one task."""

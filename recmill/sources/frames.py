@@ -87,14 +87,13 @@ def flatten(data: dict, prefix: str = "") -> dict:
 
 
 def unflatten(data: dict) -> dict:
-    out: dict = {}
+    """The nested form of dotted keys: keys with the same first part become one table under it."""
+    tables = {k.partition(".")[0]: {} for k in data if "." in k}
     for k, v in data.items():
-        at = out
-        *path, last = k.split(".")
-        for p in path:
-            at = at.setdefault(p, {})
-        at[last] = v
-    return out
+        first, dot, rest = k.partition(".")
+        if dot:
+            tables[first][rest] = v
+    return {k: v for k, v in data.items() if "." not in k} | {k: unflatten(t) for k, t in tables.items()}
 
 
 def epoch(column: str, unit: str = "s"):

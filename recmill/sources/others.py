@@ -10,11 +10,14 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recmill.data.builder import DatasetBuilder
 from recmill.data.dataset import Dataset
+from recmill.errors import DataError
+from recmill.operators.order import carry_forward
+from recmill.session import cut
 from recmill.sources.frames import epoch
 
 
@@ -70,8 +73,8 @@ def msweb_visits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = text.select("line", f.alias("r")).select("line", "r.*")
     pages = rows.where("code = 'A'").select(F.col("a").cast("int").alias("item_id"), F.col("c").alias("title"), F.col("d").alias("url"))
     marked = rows.where("code in ('C', 'V')")
-    session = F.last(F.when(F.col("code") == "C", F.col("b").cast("int")), ignorenulls=True).over(Window.orderBy("line"))
-    visits = marked.withColumn("session_id", session).where("code = 'V'").select("session_id", F.col("a").cast("int").alias("item_id"))
+    cases = marked.select("line", "code", "a", F.when(F.col("code") == "C", F.col("b").cast("int")).alias("case"))
+    visits = carry_forward(cases, "line", value="case", name="session_id").where("code = 'V'").select("session_id", F.col("a").cast("int").alias("item_id"))
     return pages, visits
 
 
@@ -92,31 +95,46 @@ def pyon_loads(text: str):
     return ast.literal_eval(text.strip())
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for t in b.column("value").to_pylist():
-            try:
-                out.append(json.dumps(ast.literal_eval(t.strip())))
-            except (ValueError, SyntaxError):
-                out.append(None)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["json"])
+def _parse(skip: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column("value").to_pylist():
+                try:
+                    out.append(json.dumps(ast.literal_eval(t.strip())) if t.strip() else None)
+                except (ValueError, SyntaxError) as e:
+                    if not skip:
+                        raise DataError(f"no Python literal: {t[:200]!r}") from e
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["json"])
 
+    return run
 
-def pyon_to_json(lines: DataFrame) -> DataFrame:
-    """``lines(value)`` of Python literals as ``json``; null where a line is none."""
-    return lines.select("value").mapInArrow(_parse, "json string")
 
+def pyon_to_json(lines: DataFrame, errors: str = "raise") -> DataFrame:
+    """``lines(value)`` of Python literals as ``json``. A line that is none ends the query with a DataError, or (errors =
+    "null") gives null; so does an empty line."""
+    if errors not in ("raise", "null"):
+        raise ValueError("errors must be raise or null")
+    return lines.select("value").mapInArrow(_parse(errors == "null"), "json string")
 
-def load_steam(spark: SparkSession, *paths: str) -> Dataset:
-    """Players and what they own. A steam_id counts once; an item has the first of its names."""
+
+def load_steam(spark: SparkSession, *paths: str, errors: str = "raise") -> Dataset:
+    """Players and what they own. A steam_id counts once, with its first line; an item has the name that it has first."""
+    if not paths:
+        raise ValueError("no files")
     schema = "user_id string, items_count int, steam_id string, user_url string, items array<struct<item_id: string, item_name: string, playtime_2weeks: double, playtime_forever: double>>"
-    raw = pyon_to_json(spark.read.text(list(paths))).where("json is not null").select(F.from_json("json", schema).alias("r")).select("r.*")
-    users = raw.withColumn("_o", F.monotonically_increasing_id()).withColumn("_k", F.row_number().over(Window.partitionBy("steam_id").orderBy("_o"))).where("_k = 1 and steam_id is not null")
-    plays = users.select(F.col("steam_id").cast("long").alias("user_id"), F.explode("items").alias("i")).select("user_id", F.col("i.item_id").cast("long").alias("item_id"), "i.item_name", "i.playtime_2weeks", "i.playtime_forever")
-    plays = plays.dropDuplicates(["user_id", "item_id"])
+    lines = pyon_to_json(spark.read.text(list(paths)), errors).where("json is not null").withColumn("_o", F.monotonically_increasing_id())
+    raw = cut(lines.select("_o", F.from_json("json", schema).alias("r")).select("_o", "r.*").where("steam_id is not null"), "steam")
+    users = raw.groupBy("steam_id").agg(F.min_by(F.struct("_o", "user_id", "items"), "_o").alias("u")).select(F.col("steam_id").cast("long").alias("user_id"), "u._o", F.col("u.user_id").alias("handle"), "u.items")
+    owned = users.select("user_id", "_o", F.posexplode("items").alias("_p", "i")).select("user_id", "_o", "_p", F.col("i.item_id").cast("long").alias("item_id"), "i.item_name", "i.playtime_2weeks", "i.playtime_forever").where("item_id is not null")
+    plays = owned.groupBy("user_id", "item_id").agg(F.min_by(F.struct("_o", "_p", "item_name", "playtime_2weeks", "playtime_forever"), F.struct("_o", "_p")).alias("x")).select("user_id", "item_id", "x.*")
     b = DatasetBuilder(spark, "steam")
-    b.add_entities("item", plays.groupBy("item_id").agg(F.min("item_name").alias("name")))
-    b.add_entities("user", users.select(F.col("steam_id").cast("long").alias("user_id"), F.col("user_id").alias("handle")))
-    b.add_interactions("play", plays.drop("item_name"), entities=["user", "item"], missing="filter", default=True)
+    b.add_entities("item", plays.groupBy("item_id").agg(F.min_by("item_name", F.struct("_o", "_p")).alias("name")))
+    b.add_entities("user", users.select("user_id", "handle"))
+    b.add_interactions("play", plays.drop("item_name", "_o", "_p"), entities=["user", "item"], missing="filter", default=True)
     return b.build()
+
+
+def load_steam_all(*_, **__) -> Dataset:
+    raise NotImplementedError("only the files of players and their items can be loaded")
