@@ -236,5 +236,5 @@ def test_missing_variants_are_refused(simple):
     for setting in ({"beta_loss": "kullback-leibler"}, {"method": "minibatch"}):
         with pytest.raises(NotImplementedError):
             NMFScorer(**setting).train(simple)
-    with pytest.raises(NotImplementedError):
-        PipelineTuner({}, lambda c: 0.0, method="tpe")
+    with pytest.raises(ValueError):
+        PipelineTuner({}, lambda c: 0.0, method="grid")
