@@ -3,14 +3,16 @@
 Records and the entities they share form a bipartite graph. Every record starts with its own id as
 label; each round an entity takes the least label of its records and a record the least label of its
 entities, until nothing changes. The groups that result are then spread over the splits so that each
-split has its share of every period of time.
+split has its share of every period of time: a stratified first assignment, then rounds in which groups move
+where that lowers the squared deviation of the splits' label counts from their targets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ STAND_INS = ["", "none", "null", "nil", "na", "nan", "unknown", "undefined", "mi
 MIN_SHARED_EVENTS = 5
 #: Groups above this share of all rows are placed one by one (there are fewer than its inverse of them).
 LARGE_GROUP_SHARE = 0.001
+#: Rounds of moves at most, and how often in a row a round may fail, with ever fewer movers, before moving ends.
+MOVE_ROUNDS, MOVE_TRIES = 24, 4
 #: Distinct labels that splits are stratified by, at most; more are refused.
 MAX_LABELS = 10_000
 
@@ -118,19 +122,88 @@ def _place_large(sizes: np.ndarray, target: np.ndarray) -> list[int]:
     return to
 
 
+def _after(steps: list[tuple[np.ndarray, float]], weight: np.ndarray, h: np.ndarray, at: np.ndarray, idx: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Splits of groups after ``steps`` of (deviation of every split and label, share of the movers that move).
+
+    Group i has ``n`` rows of label ``idx`` where ``owner`` is i. It would move to the split where that lowers
+    the weighted squared deviation most; by its hash ``h`` it is one of those that do.
+    """
+    for k, (off, share) in enumerate(steps):
+        w, many = weight[idx], len(at)
+        leave = np.bincount(owner, w * n * (n - 2 * off[at[owner], idx]), many)
+        change = np.stack([leave + np.bincount(owner, w * n * (n + 2 * off[s][idx]), many) for s in range(len(off))])
+        change[at, np.arange(many)] = 0
+        to = change.argmin(0)
+        with np.errstate(over="ignore"):
+            z = (h.view(np.uint64) ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        at = np.where((z >> np.uint64(11)) < share * 2.0**53, to, at)
+    return at
+
+
+def _read_groups(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    cells = b.column("cells")
+    sizes = np.diff(cells.offsets.to_numpy())
+    flat = cells.flatten()
+    return b.column("h").to_numpy(), b.column("split").to_numpy().astype(np.int64), flat.field("l").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float), np.repeat(np.arange(b.num_rows), sizes)
+
+
+def _refined(groups: DataFrame, target: np.ndarray) -> DataFrame:
+    """``groups(g, h, split, cells)``, cells being (label number, rows), with splits moved to lower the deviation."""
+    weight = 1 / np.maximum(target.sum(0), 1)
+    steps: list[tuple[np.ndarray, float]] = []
+    splits, labels = target.shape
+
+    def counted(tried: list) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            have = np.zeros(splits * labels)
+            for b in batches:
+                if b.num_rows:
+                    h, at, idx, n, owner = _read_groups(b)
+                    at = _after(tried, weight, h, at, idx, n, owner)
+                    have += np.bincount(at[owner] * labels + idx, n, splits * labels)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(splits * labels)), pa.array(have)], names=["c", "t"])
+
+        got = np.zeros(splits * labels)
+        for r in groups.select("h", "split", "cells").mapInArrow(run, "c long, t double").groupBy("c").agg(F.sum("t").alias("t")).collect():
+            got[r["c"]] = r["t"]
+        return got.reshape(splits, labels)
+
+    def cost(off: np.ndarray) -> float:
+        return float((weight * off**2).sum())
+
+    off, share, lost = counted([]) - target, 0.1, 0
+    while lost < MOVE_TRIES and len(steps) < MOVE_ROUNDS and cost(off) > 0:
+        tried = [*steps, (off, share)]
+        new = counted(tried) - target
+        if cost(new) < cost(off) * (1 - 1e-3):
+            steps, off, lost = tried, new, 0
+        else:  # too many moved at once, or nothing is left to gain
+            share, lost = share / 4, lost + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = _after(steps, weight, *_read_groups(b))
+                yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(at.astype(np.int32))], names=["g", "split"])
+
+    return groups.mapInArrow(run, f"g {dict(groups.dtypes)['g']}, split int")
+
+
 def assign_splits(rows: DataFrame, group: str, label: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """(group, split): every group whole in one split, each split with its share of every label's rows.
 
     The few groups above ``LARGE_GROUP_SHARE`` of all rows (a bounded number, whatever the data) are
     placed greedily, least growth of the squared deviation first. The others are laid out, per main
     label and size class, in hash order along a line of their rows (a two-level prefix sum, so no
-    stratum meets in one task) which is cut where the shares that are left say. Rows with a null group
-    are not assigned; null labels form a label of their own; an empty table gives no rows.
+    stratum meets in one task) which is cut where the shares that are left say. From there all groups move,
+    in rounds, to lower the deviation (:func:`_refined`). Rows with a null group are not assigned; null labels
+    form a label of their own; an empty table gives no rows.
     """
     names, want = list(shares), np.array(list(shares.values()), float)
     want = want / want.sum()
     known = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("l"))
-    cells = known.groupBy("g", "l").agg(F.count("*").alias("n"))
+    cells = cut(known.groupBy("g", "l").agg(F.count("*").alias("n")), "cells")
     groups = cut(cells.groupBy("g").agg(F.sum("n").alias("size"), F.max_by("l", F.struct("n", "l")).alias("main")), "groups")
     total = groups.agg(F.sum("size")).first()[0] or 0
     large = groups.where(F.col("size") > LARGE_GROUP_SHARE * total)
@@ -161,4 +234,9 @@ def assign_splits(rows: DataFrame, group: str, label: str, shares: dict[str, flo
     where = (F.col("before") + F.col("size") / 2) / F.col("of")
     split = F.element_at(F.array(*map(F.lit, names)), F.size(F.filter("cuts", lambda c: c <= where)) + 1)
     rest = laid.join(whole, ["main", "class"]).join(cuts, "main").select("g", split.alias("split"))
-    return placed.unionByName(rest).withColumnRenamed("g", group)
+    number = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(i))])
+    label_number = spark.createDataFrame([(x, i) for x, i in at.items()], "l string, li int")
+    packed = cells.join(F.broadcast(label_number), "l").groupBy("g").agg(F.collect_list(F.struct(F.col("li").alias("l"), "n")).alias("cells"))
+    first = placed.unionByName(rest).select("g", number[F.col("split")].alias("split"))
+    moved = _refined(cut(packed.join(first, "g").select("g", F.xxhash64("g", F.lit(seed)).alias("h"), "split", "cells"), "assigned"), target)
+    return moved.select(F.col("g").alias(group), F.element_at(F.array(*map(F.lit, names)), F.col("split") + 1).alias("split"))
