@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recmill.models.base import Scorer, TrainingOptions, float_score, known_pairs, reach_by_rules
+from recmill.operators.order import number_rows
 from recmill.operators.stats import cooccurrence
 from recmill.session import cut
 
-#: EASE inverts a dense item x item matrix; above so many items it is refused.
-MAX_DENSE_ITEMS = 20_000
+#: EASE inverts a dense item x item matrix; above so many items (two matrices of 0.8 GB in a task) it is refused.
+MAX_DENSE_ITEMS = 10_000
 
 
 class _Weights(Scorer):
@@ -46,21 +49,27 @@ class EASEScorer(_Weights):
         d = cut(known_pairs(log).select("user_id", "item_id").distinct(), "history")
         if d.select("item_id").distinct().limit(MAX_DENSE_ITEMS + 1).count() > MAX_DENSE_ITEMS:
             raise ValueError(f"EASE needs a dense matrix of all items; more than {MAX_DENSE_ITEMS} is refused, use SLIM with max_nbrs")
-        reg, kind = self.config.regularization, dict(d.dtypes)["item_id"]
-
-        def invert(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids = np.sort(pdf["item_a"].unique())  # every item is on the diagonal
-            a, b = np.searchsorted(ids, pdf["item_a"]), np.searchsorted(ids, pdf["item_b"])
-            g = reg * np.eye(len(ids))
-            np.add.at(g, (a, b), pdf["n"].to_numpy(float))
+        items = cut(number_rows(d.select("item_id").distinct(), "item_id", name="num"), "items")
+        size, reg = items.count(), self.config.regularization
+        at = lambda c, name: F.broadcast(items.select(F.col("item_id").alias(c), F.col("num").alias(name)))
+        gram = cooccurrence(d, "user_id", "item_id", True).join(at("item_a", "a"), "item_a").join(at("item_b", "b"), "item_b").select("a", "b", F.col("n").cast("double").alias("n"))
+
+        def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = np.zeros((size, size))
+            for x in batches:
+                g[x.column("a").to_numpy(), x.column("b").to_numpy()] = x.column("n").to_numpy()
+            g[np.diag_indices(size)] += reg
             p = np.linalg.inv(g)
-            w = -p / np.diag(p)[None, :]
-            np.fill_diagonal(w, 0)
-            return pd.DataFrame({"item_id": ids, "refs": [ids] * len(ids), "w": list(w.T)})
-
-        # the one task that inverts holds a matrix of checked size
-        wide = cooccurrence(d, "user_id", "item_id", True).groupBy(F.lit(1).alias("one")).applyInPandas(invert, f"item_id {kind}, refs array<{kind}>, w array<double>")
-        self.tables["weights"] = cut(wide.select("item_id", F.explode(F.arrays_zip("refs", "w")).alias("x")).select(F.col("x.refs").alias("ref"), "item_id", F.col("x.w").alias("w")).where("w <> 0"), "weights")
+            del g
+            p /= -np.diag(p)[None, :]
+            np.fill_diagonal(p, 0)
+            for k in range(size):
+                on = np.flatnonzero(p[:, k])
+                yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(np.full(len(on), k, np.int64)), pa.array(p[on, k])], names=["r", "i", "w"])
+
+        # cells stream into the one task that inverts, which holds two matrices of checked size
+        wide = cut(gram.coalesce(1).mapInArrow(invert, "r long, i long, w double") if size else gram.select(F.col("a").alias("r"), F.col("b").alias("i"), F.col("n").alias("w")), "inverse")
+        self.tables["weights"] = cut(wide.join(at("ref", "r"), "r").join(at("item_id", "i"), "i").select("ref", "item_id", "w"), "weights")
         self.tables |= {"history": d, "items": d.select("item_id").distinct()}
 
 

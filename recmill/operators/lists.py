@@ -163,8 +163,41 @@ class ListCollection:
     def to_json(self) -> DataFrame:
         return self.nested().select(F.to_json(F.struct("*")).alias("json"))
 
-    def record_batches(self, batch_size: int = 5000):
-        return self.nested().toArrow().to_batches(batch_size)
+    def record_batches(self, batch_size: int = 5000, columns: Sequence[str] | None = None, layout: str = "native"):
+        """Arrow batches, one partition at a time: never all lists at once."""
+        import pyarrow as pa
+
+        df = self.nested() if layout == "native" else self.rows
+        df = df.select(*columns) if columns else df
+        schema, held = None, []
+        for row in df.toLocalIterator(prefetchPartitions=True):
+            held.append(row.asDict(recursive=True))
+            if len(held) == batch_size:
+                batch = pa.RecordBatch.from_pylist(held, schema)
+                schema, held = batch.schema if schema is None else schema, []
+                yield batch
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    def to_arrow(self, layout: str = "native"):
+        """Everything as one Arrow table, for collections that fit on the driver."""
+        return (self.nested() if layout == "native" else self.rows).toArrow()
+
+    @classmethod
+    def from_arrow(cls, spark: SparkSession, table, keys: Sequence[str] | None = None) -> ListCollection:
+        """From an Arrow table of nested lists (a column ``items``) or of flat rows."""
+        df = spark.createDataFrame(table)
+        if "items" not in df.columns:
+            return cls.from_df(df, keys)
+        keys = list(keys or [c for c in df.columns if c != "items"])
+        return cls(df.select(*keys, F.explode("items").alias("x")).select(*keys, "x.*"), keys, df)
+
+    def columns_or_null(self, columns: Sequence[str]) -> DataFrame:
+        """The named columns of the rows; unknown ones are null, with a warning."""
+        unknown = [c for c in columns if c not in self.rows.columns]
+        if unknown:
+            warnings.warn(f"no columns {unknown}: null", DataWarning, stacklevel=2)
+        return self.rows.select(*[F.lit(None).alias(c) if c in unknown else F.col(c) for c in columns])
 
     def to_dataset(self, cls: str = "interaction"):
         from recmill.data.builder import DatasetBuilder
@@ -175,11 +208,16 @@ class ListCollection:
         return b.build()
 
     def sample(self, n: int, seed=0) -> ListCollection:
-        """n lists, with replacement if there are more."""
+        """n lists drawn with replacement, exactly n draws; all lists if there are no more than n. The column ``draw`` tells
+        draws of the same list apart and becomes part of the key."""
+        from recmill.operators.order import number_rows
+
         if len(self) <= n:
             return self
-        picked = self.key_frame.sample(True, min(1.0, 3 * n / max(len(self), 1)), seed).limit(n)
-        return ListCollection(self.rows.join(picked.distinct(), self.keys, "left_semi"), self.keys, picked)
+        numbered, size = number_rows(self.key_frame, *self.keys, name="_num"), len(self)
+        draws = self.rows.sparkSession.range(n).select(F.col("id").cast("int").alias("draw")).withColumn("_num", F.conv(F.substring(F.md5(F.concat_ws("|", "draw", F.lit(str(seed)))), 1, 12), 16, 10).cast("long") % size)
+        picked = draws.join(numbered, "_num").select(*self.keys, "draw")
+        return ListCollection(self.rows.join(picked, self.keys), [*self.keys, "draw"], picked)
 
 
 # -- candidates, random choices, reranking
