@@ -27,10 +27,10 @@ STAND_INS = ["", "none", "null", "nil", "na", "nan", "unknown", "undefined", "mi
 MIN_SHARED_EVENTS = 5
 #: Groups above this share of all rows are placed one by one (there are fewer than its inverse of them).
 LARGE_GROUP_SHARE = 0.001
-#: Rounds of moves at most, and how often in a row a round may fail, with ever fewer movers, before moving ends.
-MOVE_ROUNDS, MOVE_TRIES = 24, 4
-#: Distinct labels that splits are stratified by, at most; more are refused.
-MAX_LABELS = 10_000
+#: Rounds of moves at most, and the shares of the movers that each round tries at once.
+MOVE_ROUNDS, MOVE_SHARES = 16, (0.5, 0.15, 0.05, 0.015, 0.005, 0.0015, 0.0005)
+#: Distinct labels that splits are stratified by, at most; more are refused. Every task returns that many counts.
+MAX_LABELS = 1_000
 
 
 def plain_handle(c: Column) -> Column:
@@ -122,72 +122,98 @@ def _place_large(sizes: np.ndarray, target: np.ndarray) -> list[int]:
     return to
 
 
-def _after(steps: list[tuple[np.ndarray, float]], weight: np.ndarray, h: np.ndarray, at: np.ndarray, idx: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Splits of groups after ``steps`` of (deviation of every split and label, share of the movers that move).
+def _wishes(off: np.ndarray, weight: np.ndarray, at: np.ndarray, idx: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The split of every group to which its move lowers the weighted squared deviation ``off`` most; its own if none does.
 
-    Group i has ``n`` rows of label ``idx`` where ``owner`` is i. It would move to the split where that lowers
-    the weighted squared deviation most; by its hash ``h`` it is one of those that do.
+    Group i, now in split ``at[i]``, has ``n`` rows of label ``idx`` where ``owner`` is i.
     """
+    w, many = weight[idx], len(at)
+    leave = np.bincount(owner, w * n * (n - 2 * off[at[owner], idx]), many)
+    change = np.stack([leave + np.bincount(owner, w * n * (n + 2 * off[s][idx]), many) for s in range(len(off))])
+    change[at, np.arange(many)] = 0
+    return change.argmin(0)
+
+
+def _movers(h: np.ndarray, step: int, share: float) -> np.ndarray:
+    """Which groups move in a step, by their hash."""
+    with np.errstate(over="ignore"):
+        z = (h.view(np.uint64) ^ np.uint64(step + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z >> np.uint64(11)) < share * 2.0**53
+
+
+def _after(steps: list[tuple[np.ndarray, float]], weight: np.ndarray, h: np.ndarray, at: np.ndarray, *cells: np.ndarray) -> np.ndarray:
+    """Splits of groups after ``steps`` of (deviation of every split and label, share of the movers that move)."""
     for k, (off, share) in enumerate(steps):
-        w, many = weight[idx], len(at)
-        leave = np.bincount(owner, w * n * (n - 2 * off[at[owner], idx]), many)
-        change = np.stack([leave + np.bincount(owner, w * n * (n + 2 * off[s][idx]), many) for s in range(len(off))])
-        change[at, np.arange(many)] = 0
-        to = change.argmin(0)
-        with np.errstate(over="ignore"):
-            z = (h.view(np.uint64) ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        at = np.where((z >> np.uint64(11)) < share * 2.0**53, to, at)
+        at = np.where(_movers(h, k, share), _wishes(off, weight, at, *cells), at)
     return at
 
 
-def _read_groups(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    cells = b.column("cells")
-    sizes = np.diff(cells.offsets.to_numpy())
-    flat = cells.flatten()
-    return b.column("h").to_numpy(), b.column("split").to_numpy().astype(np.int64), flat.field("l").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float), np.repeat(np.arange(b.num_rows), sizes)
+_PACK = "h binary, split binary, l binary, n binary, many binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, h, split, cells) in; one row of packed arrays for every batch of groups out, which rounds read at little cost."""
+    for b in batches:
+        if b.num_rows:
+            cells = b.column("cells")
+            flat = cells.flatten()
+            parts = (b.column("h").to_numpy().astype("<i8"), b.column("split").to_numpy().astype("<i4"), flat.field("l").to_numpy().astype("<i4"), flat.field("n").to_numpy().astype("<f8"), np.diff(cells.offsets.to_numpy()).astype("<i4"))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("g")), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["g", "h", "split", "l", "n", "many"])
+
+
+def _read_packs(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    kinds = {"h": "<i8", "split": "<i4", "l": "<i4", "n": "<f8", "many": "<i4"}
+    for i in range(b.num_rows):
+        h, at, idx, n, many = (np.frombuffer(b.column(c)[i].as_py(), k) for c, k in kinds.items())
+        yield h, at.astype(np.int64), idx.astype(np.int64), n, np.repeat(np.arange(len(h)), many)
 
 
 def _refined(groups: DataFrame, target: np.ndarray) -> DataFrame:
     """``groups(g, h, split, cells)``, cells being (label number, rows), with splits moved to lower the deviation."""
+    kind = dict(groups.dtypes)["g"]
+    groups = cut(groups.mapInArrow(_packed, f"g array<{kind}>, {_PACK}"), "assigned")
     weight = 1 / np.maximum(target.sum(0), 1)
     steps: list[tuple[np.ndarray, float]] = []
     splits, labels = target.shape
 
-    def counted(tried: list) -> np.ndarray:
+    def counted(off: np.ndarray | None) -> np.ndarray:
+        """Counts of (share tried, split, label) after the steps so far and, where ``off`` is given, one more."""
+        shares = MOVE_SHARES if off is not None else (0.0,)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            have = np.zeros(splits * labels)
+            have = np.zeros((len(shares), splits * labels))
             for b in batches:
-                if b.num_rows:
-                    h, at, idx, n, owner = _read_groups(b)
-                    at = _after(tried, weight, h, at, idx, n, owner)
-                    have += np.bincount(at[owner] * labels + idx, n, splits * labels)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(splits * labels)), pa.array(have)], names=["c", "t"])
-
-        got = np.zeros(splits * labels)
-        for r in groups.select("h", "split", "cells").mapInArrow(run, "c long, t double").groupBy("c").agg(F.sum("t").alias("t")).collect():
-            got[r["c"]] = r["t"]
-        return got.reshape(splits, labels)
+                for h, at, idx, n, owner in _read_packs(b):
+                    at = _after(steps, weight, h, at, idx, n, owner)
+                    to = at if off is None else _wishes(off, weight, at, idx, n, owner)
+                    for k, share in enumerate(shares):
+                        there = np.where(_movers(h, len(steps), share), to, at)
+                        have[k] += np.bincount(there[owner] * labels + idx, n, splits * labels)
+            yield pa.RecordBatch.from_arrays([pa.array([have.tobytes()], pa.binary())], names=["have"])
+
+        # one row for each task, of a size that MAX_LABELS bounds
+        rows = groups.drop("g").mapInArrow(run, "have binary").collect()
+        return sum((np.frombuffer(r["have"]) for r in rows), np.zeros(len(shares) * splits * labels)).reshape(len(shares), splits, labels)
 
     def cost(off: np.ndarray) -> float:
         return float((weight * off**2).sum())
 
-    off, share, lost = counted([]) - target, 0.1, 0
-    while lost < MOVE_TRIES and len(steps) < MOVE_ROUNDS and cost(off) > 0:
-        tried = [*steps, (off, share)]
-        new = counted(tried) - target
-        if cost(new) < cost(off) * (1 - 1e-3):
-            steps, off, lost = tried, new, 0
-        else:  # too many moved at once, or nothing is left to gain
-            share, lost = share / 4, lost + 1
+    off = counted(None)[0] - target
+    while len(steps) < MOVE_ROUNDS and cost(off) > 0:
+        tried = counted(off) - target
+        best = min(range(len(tried)), key=lambda k: cost(tried[k]))
+        if cost(tried[best]) >= cost(off) * (1 - 1e-3):
+            break
+        steps, off = [*steps, (off, MOVE_SHARES[best])], tried[best]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                at = _after(steps, weight, *_read_groups(b))
-                yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(at.astype(np.int32))], names=["g", "split"])
+            for i, pack in enumerate(_read_packs(b)):
+                at = _after(steps, weight, *pack)
+                yield pa.RecordBatch.from_arrays([b.column("g")[i].values, pa.array(at.astype(np.int32))], names=["g", "split"])
 
-    return groups.mapInArrow(run, f"g {dict(groups.dtypes)['g']}, split int")
+    return groups.mapInArrow(run, f"g {kind}, split int")
 
 
 def assign_splits(rows: DataFrame, group: str, label: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
@@ -238,5 +264,5 @@ def assign_splits(rows: DataFrame, group: str, label: str, shares: dict[str, flo
     label_number = spark.createDataFrame([(x, i) for x, i in at.items()], "l string, li int")
     packed = cells.join(F.broadcast(label_number), "l").groupBy("g").agg(F.collect_list(F.struct(F.col("li").alias("l"), "n")).alias("cells"))
     first = placed.unionByName(rest).select("g", number[F.col("split")].alias("split"))
-    moved = _refined(cut(packed.join(first, "g").select("g", F.xxhash64("g", F.lit(seed)).alias("h"), "split", "cells"), "assigned"), target)
+    moved = _refined(packed.join(first, "g").select("g", F.xxhash64("g", F.lit(seed)).alias("h"), "split", "cells"), target)
     return moved.select(F.col("g").alias(group), F.element_at(F.array(*map(F.lit, names)), F.col("split") + 1).alias("split"))
