@@ -153,13 +153,21 @@ class DatasetBuilder:
             out = drop_exact(out)
         elif remove_repeats:
             out = keep_last(out, keys)
-        repeated = not out.groupBy(*keys).count().where("count > 1").isEmpty()
+        repeated = remove_repeats is not True and rel.repeats != "present" and self._repeats(data, have, out if remove_repeats else None, keys)
         if repeated and rel.repeats == "forbidden":
             raise DataError(f"repeated entity combinations in {cls}")
         if repeated:
             rel.repeats = "present"
         self.relations[cls] = out
 
+    @staticmethod
+    def _repeats(data: DataFrame, have: DataFrame | None, cleaned: DataFrame | None, keys: list[str]) -> bool:
+        """Whether combinations of ``keys`` repeat: rows that came before are only asked for those of the new rows."""
+        twice = lambda df: not df.groupBy(*keys).count().where("count > 1").isEmpty()
+        if cleaned is not None:
+            return twice(cleaned)
+        return twice(data) or (have is not None and not data.join(have.select(*keys), keys, "left_semi").isEmpty())
+
     def add_interactions(self, cls: str, data: DataFrame, default: bool = False, **options) -> None:
         self.add_relationships(cls, data, interaction="default" if default else True, **options)
 

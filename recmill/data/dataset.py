@@ -90,7 +90,8 @@ class RelationshipSet:
         return self.log.select(id_col(row), id_col(col)).distinct()
 
     def row(self, value, row: str = "user", col: str = "item") -> DataFrame:
-        return self.matrix(row, col).where(F.col(id_col(row)) == F.lit(value)).drop(id_col(row))
+        mine = self.log.where(F.col(id_col(row)) == F.lit(value))  # before anything is grouped
+        return stats.coalesce_repeats(mine, id_col(row), id_col(col)).drop(id_col(row))
 
     def item_lists(self, row: str = "user", col: str = "item") -> DataFrame:
         """Every row entity with its sorted list, also an empty one."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -139,12 +140,18 @@ class _ALS(Scorer):
         return None
 
     def fit(self, log: DataFrame, options: TrainingOptions) -> None:
-        c = self.config
+        for _ in self.train_epochs(log, options):
+            pass
+
+    def train_epochs(self, log: DataFrame, options: TrainingOptions | None = None) -> Iterator[dict]:
+        c, options = self.config, options or TrainingOptions()
         rows = cut(self.rows(log), "ratings")
         self.tables["item"] = cut(start_vectors(rows, "item_id", c.embedding_size, options.seed, self.squared), "item")
         self.deltas: list[tuple[float, float]] = []
-        for _ in range(c.epochs):
+        self.tables.pop("user", None)
+        for e in range(c.epochs):
             self.deltas.append((self._half(rows, "user_id", "item_id"), self._half(rows, "item_id", "user_id")))
+            yield {"epoch": e + 1, "user_change": self.deltas[-1][0], "item_change": self.deltas[-1][1]}
 
     def _half(self, rows: DataFrame, key: str, other: str) -> float:
         """Solve one side from the other; gives the Frobenius norm of the change."""
@@ -190,9 +197,9 @@ class BiasedMFScorer(_ALS):
 
     config_class = BiasedMFConfig
 
-    def fit(self, log: DataFrame, options: TrainingOptions) -> None:
+    def train_epochs(self, log: DataFrame, options: TrainingOptions | None = None) -> Iterator[dict]:
         self.bias = BiasScorer(damping=self.config.damping).train(log)
-        super().fit(log, options)
+        yield from super().train_epochs(log, options)
 
     def _item_terms(self) -> DataFrame:
         bias = self.bias.tables.get("item")

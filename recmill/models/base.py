@@ -6,6 +6,7 @@ items get a null score, never an error.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame
@@ -53,6 +54,12 @@ class Scorer:
     def fit(self, log: DataFrame, options: TrainingOptions) -> None:
         raise NotImplementedError
 
+    def train_epochs(self, log: DataFrame, options: TrainingOptions | None = None) -> Iterator[dict]:
+        """Train and give a record after every epoch, when the model can be used as it is by then. Models without epochs
+        give one record."""
+        self.fit(log, options or TrainingOptions())
+        yield {"epoch": 1}
+
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         raise NotImplementedError
 

@@ -19,7 +19,6 @@ from recmill.models.base import Scorer, TrainingOptions, float_score, known_pair
 from recmill.models.basic import BiasScorer
 
 MAX_CELLS = 20_000_000
-DENSE_CELLS = 50_000_000
 
 
 class _Factors(Scorer):

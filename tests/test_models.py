@@ -79,6 +79,14 @@ def test_als_normal_equations(log, cells, make):
         assert a @ q[item] == pytest.approx(sum(y * x for x, _, y in mine), abs=1e-8)
 
 
+def test_epochs(log):
+    s, seen = ImplicitMFScorer(embedding_size=3, epochs=4), []
+    for record in s.train_epochs(log):
+        seen.append((record["epoch"], record["item_change"], s.score(log.limit(1)).first()["score"]))
+    assert [x[0] for x in seen] == [1, 2, 3, 4] and seen[3][1] < seen[1][1] and all(x[2] is not None for x in seen)
+    assert [r["epoch"] for r in BiasScorer().train_epochs(log)] == [1]
+
+
 def test_svd(log, cells):
     s = BiasedSVDScorer(embedding_size=4, damping=5.0).train(log)
     r = np.zeros((U, I))
