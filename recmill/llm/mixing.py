@@ -128,6 +128,16 @@ def _moved(caps: np.ndarray, steps: list[np.ndarray]):
 _RATED = "doc_id long, tokens long, member array<float>, rate double"
 
 
+def fit_known(size: np.ndarray, target: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """Rates of documents whose source is known: the same projected gradient steps, for which the sources' sizes suffice."""
+    rate, before = np.minimum(1.0, caps), None
+    for _ in range(MAX_STEPS):
+        before, rate = rate, np.clip(rate - (rate * size - target) / np.maximum(size, 1), 0, caps)
+        if np.abs(rate - before).max(initial=0) <= 1e-12:
+            break
+    return rate
+
+
 class Mixture:
     """What :func:`mix` found: ``sources`` (a report, one row per source) and ``documents`` (rate and copies)."""
 
@@ -144,9 +154,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, ma
     weights and repeats count as 0; an empty corpus gives sizes of 0.
 
     ``sources``: size (tokens of the source's own documents), soft_size (with the expected tokens of documents
-    without a source), target, rate (fitted, of its own documents), falls_short (its own documents, at their
-    fitted rate, leave it below its target, and would at its cap: max_repeats * size < weight * total of
-    all sizes), expected (tokens at the fitted rates), reached (tokens of the copies) and its share, steps and
+    without a source), target, rate (fitted, of its own documents), falls_short (its own documents, fitted by
+    themselves, stay below its target: they do where max_repeats * size < weight * total of all sizes), expected (tokens at the fitted rates), reached (tokens of the copies) and its share, steps and
     converged. ``documents``: rate, and copies, which are the rate rounded up or down.
     """
     spark = documents.sparkSession
@@ -175,7 +184,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, ma
         return got
 
     soft_size = size + soft_tokens(soft.select("tokens", "member", F.lit(1.0).alias("rate")))
-    own = np.minimum(1.0, caps)
+    # documents of a known source alone: what their fitted rates leave open is the shortfall
+    own = fit_known(size, target, caps)
+    short = own * size < target * (1 - 1e-9)
     got, converged, done = own * size + soft_tokens(soft), False, 0
     while not converged and done < MAX_STEPS:
         r = (got - target) / np.maximum(soft_size, 1)
@@ -199,7 +210,6 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, ma
     reached = np.zeros(k)
     for r in taken.where("s is not null").select("s", "t").unionByName(shared).groupBy("s").agg(F.sum("t").alias("t")).collect():
         reached[r["s"]] = r["t"]
-    short = (own * size < target) & (caps * size < target)
     share = reached / max(reached.sum(), 1e-9)
     rows = [(g[0], g[2], int(g[3]), int(size[i]), float(soft_size[i]), float(target[i]), float(own[i]), bool(short[i]), float(got[i]), float(reached[i]), float(share[i]), done, converged) for i, g in enumerate(goal)]
     report = spark.createDataFrame(rows, "source string, weight double, max_repeats int, size long, soft_size double, target double, rate double, falls_short boolean, expected double, reached double, share double, steps int, converged boolean")

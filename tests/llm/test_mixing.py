@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from recmill.llm.mixing import _stepped, mix
+from recmill.llm.mixing import _stepped, fit_known, mix
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +29,17 @@ def test_rates_and_copies(spark, corpus):
     assert sum(r["share"] for r in got.values()) == pytest.approx(1)
 
 
+def test_shortfall_of_known_sources():
+    """Fitted rates leave a source short just where its cap does; at the cap exactly it is not short."""
+    rng = np.random.default_rng(1)
+    size, caps = rng.integers(0, 1_000, 300).astype(float), rng.integers(0, 5, 300).astype(float)
+    target = rng.uniform(0, 3_000, 300)
+    target[:50] = caps[:50] * size[:50]
+    rate = fit_known(size, target, caps)
+    assert ((rate * size < target * (1 - 1e-9)) == (caps * size < target * (1 - 1e-9))).all() and (rate <= caps).all()
+    assert (np.minimum(1.0, caps) * size < target * (1 - 1e-9)).sum() > (caps * size < target * (1 - 1e-9)).sum()  # rates that are not fitted say otherwise
+
+
 def test_steps_reach_the_least_squares(spark):
     """Projected gradient steps end where no feasible change of a rate lowers the squared residuals."""
     rng = np.random.default_rng(0)
