@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recmill.models.base import Scorer, TrainingOptions, float_score, known_pairs, reach_by_rules
+from recmill.operators.held import Cells, Together, by_key, held_path, nearest, ragged, voted
 from recmill.operators.pairs import group_pairs, side_pairs
 from recmill.operators.stats import cooccurrence
 from recmill.session import cut
@@ -56,27 +58,59 @@ class ItemKNNScorer(Scorer):
         if self.config.save_nbrs:
             w = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
             sims = sims.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= self.config.save_nbrs).drop("_k")
-        self.tables["sims"] = cut(sims, "sims")
+        self._held = held_path(r) if self.config.min_sim > 0 and not self.config.save_nbrs else None
+        self.tables["sims"] = sims if self._held else cut(sims, "sims")  # not needed for scores by held cells
+
+    def load_parameters(self, tables: dict[str, DataFrame]) -> None:
+        super().load_parameters(tables)
+        self._held = None
+
+    def load(self, spark, path: str, names: list[str]) -> None:
+        super().load(spark, path, names)
+        self._held = None
 
     def reach(self, users: DataFrame, history: DataFrame, n: int) -> DataFrame:
         return reach_by_rules(self.tables["sims"].select(F.col("j").alias("ref"), F.col("i").alias("item_id")), None, users, history, n)
 
+    def _by_held(self, todo: DataFrame) -> DataFrame:
+        cfg = self.config
+
+        def run(cells: Cells):
+            sums, (start, many, refs, vals) = Together(cells, "u"), cells.user
+
+            def one(item, users):
+                sims = sums.at(item)
+                flat = ragged(start[users], many[users])
+                seg, sim = np.repeat(np.arange(len(users)), many[users]), sims[refs[flat]]
+                best = nearest(seg, sim, refs[flat], cfg.min_sim, cfg.max_nbrs)
+                return voted(seg[best], sim[best], vals["c"][flat][best] if cfg.feedback == "explicit" else None, len(users))
+
+            return one
+
+        return by_key(todo, "item_id", "score double, nbr_count long", run, self._held, ("u", "c"))
+
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Also gives nbr_count. Too few neighbours give null."""
         explicit = self.config.feedback == "explicit"
+        if history is None and self._held:
+            got = self._by_held(pairs.select("user_id", "item_id").distinct())
+        else:
+            got = self._by_joins(pairs, history, explicit)
+        out = pairs.join(got.where(F.col("nbr_count") >= self.config.min_nbrs), ["user_id", "item_id"], "left")
+        if explicit:
+            out = out.join(self.tables["means"], "item_id", "left").withColumn("score", F.col("score") + F.col("m")).drop("m")
+        return float_score(out.fillna(0, ["nbr_count"]))
+
+    def _by_joins(self, pairs: DataFrame, history: DataFrame | None, explicit: bool) -> DataFrame:
         past = (_ratings(history, explicit) if history is not None else self.tables["ratings"]).select("user_id", F.col("item_id").alias("ref"), "r")
         past = past.join(self.tables["means"].withColumnRenamed("item_id", "ref"), "ref").withColumn("v", F.col("r") - F.col("m")).select("user_id", "ref", "v")
         todo = pairs.select("user_id", "item_id").distinct()
-        # the pairs' items reach their neighbours first, then the user's history picks among them
-        near = todo.join(self.tables["sims"].select(F.col("i").alias("item_id"), F.col("j").alias("ref"), "sim"), "item_id").join(past, ["user_id", "ref"])
+        # a user's pairs meet its history first: items meet all their neighbours in no step
+        near = side_pairs(todo, past, "user_id", ["item_id"], ["ref", "v"]).join(self.tables["sims"].select(F.col("i").alias("item_id"), F.col("j").alias("ref"), "sim"), ["item_id", "ref"])
         w = Window.partitionBy("user_id", "item_id").orderBy(F.desc("sim"), "ref")
         best = near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= self.config.max_nbrs)
         value = F.sum(F.col("sim") * F.col("v")) / F.sum("sim") if explicit else F.sum("sim")
-        got = best.groupBy("user_id", "item_id").agg(value.alias("score"), F.count("*").alias("nbr_count")).where(F.col("nbr_count") >= self.config.min_nbrs)
-        out = pairs.join(got, ["user_id", "item_id"], "left")
-        if explicit:
-            out = out.join(self.tables["means"], "item_id", "left").withColumn("score", F.col("score") + F.col("m")).drop("m")
-        return float_score(out.fillna(0, ["nbr_count"]))
+        return best.groupBy("user_id", "item_id").agg(value.alias("score"), F.count("*").alias("nbr_count"))
 
 
 @dataclass
@@ -97,6 +131,39 @@ class UserKNNScorer(Scorer):
     def fit(self, log: DataFrame, options: TrainingOptions) -> None:
         explicit = self.config.feedback == "explicit"
         self.tables["vectors"] = cut(_unit(_ratings(log, explicit), "user_id", explicit).select("user_id", "item_id", "c", "u", "m"), "vectors")
+        self._held = held_path(self.tables["vectors"]) if self.config.min_sim > 0 else None
+
+    def load_parameters(self, tables: dict[str, DataFrame]) -> None:
+        super().load_parameters(tables)
+        self._held = None
+
+    def load(self, spark, path: str, names: list[str]) -> None:
+        super().load(spark, path, names)
+        self._held = None
+
+    def _by_held(self, todo: DataFrame) -> DataFrame:
+        cfg = self.config
+
+        def run(cells: Cells):
+            (ustart, umany, uitems, uvals), (start, many, users, vals) = cells.user, cells.item
+            sims = np.zeros(len(cells.users))
+
+            def one(user, items):
+                cell = slice(ustart[user], ustart[user] + umany[user])
+                mine = uitems[cell]
+                near = ragged(start[mine], many[mine])
+                touched = users[near]
+                np.add.at(sims, touched, np.repeat(uvals["u"][cell], many[mine]) * vals["u"][near])
+                sims[user] = 0
+                flat = ragged(start[items], many[items])
+                seg, sim = np.repeat(np.arange(len(items)), many[items]), sims[users[flat]]
+                sims[touched] = 0
+                best = nearest(seg, sim, users[flat], cfg.min_sim, cfg.max_nbrs)
+                return voted(seg[best], sim[best], vals["c"][flat[best]] if cfg.feedback == "explicit" else None, len(items))
+
+            return one
+
+        return by_key(todo, "user_id", "score double, nbr_count long", run, self._held, ("u", "c"))
 
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         explicit, vec = self.config.feedback == "explicit", self.tables["vectors"]
@@ -105,14 +172,18 @@ class UserKNNScorer(Scorer):
             mine = vec.join(users, "user_id", "left_semi").select("user_id", "item_id", F.col("u").alias("q"), "m")
         else:
             mine = _unit(_ratings(history, explicit), "user_id", explicit).select("user_id", "item_id", F.col("c").alias("q"), "m")
-        other = vec.where("u <> 0").select(F.col("user_id").alias("nbr"), "item_id", "u")
-        sims = side_pairs(mine.where("q <> 0"), other, "item_id", ["user_id", "q"], ["nbr", "u"]).where("user_id <> nbr").groupBy("user_id", "nbr").agg(F.sum(F.col("q") * F.col("u")).alias("sim")).where(F.col("sim") >= self.config.min_sim)
-        votes = side_pairs(pairs.select("user_id", "item_id").distinct(), vec.select(F.col("user_id").alias("nbr"), "item_id", "c"), "item_id", ["user_id"], ["nbr", "c"]).join(sims, ["user_id", "nbr"])
-        w = Window.partitionBy("user_id", "item_id").orderBy(F.desc("sim"), "nbr")
-        best = votes.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= self.config.max_nbrs)
-        value = F.sum(F.col("sim") * F.col("c")) / F.sum("sim") if explicit else F.sum("sim")
-        got = best.groupBy("user_id", "item_id").agg(value.alias("score"), F.count("*").alias("nbr_count")).where(F.col("nbr_count") >= self.config.min_nbrs)
-        out = pairs.join(got, ["user_id", "item_id"], "left")
+        todo = pairs.select("user_id", "item_id").distinct()
+        if history is None and self._held:
+            got = self._by_held(todo)
+        else:
+            other = vec.where("u <> 0").select(F.col("user_id").alias("nbr"), "item_id", "u")
+            sims = side_pairs(mine.where("q <> 0"), other, "item_id", ["user_id", "q"], ["nbr", "u"]).where("user_id <> nbr").groupBy("user_id", "nbr").agg(F.sum(F.col("q") * F.col("u")).alias("sim")).where(F.col("sim") >= self.config.min_sim)
+            votes = side_pairs(todo, vec.select(F.col("user_id").alias("nbr"), "item_id", "c"), "item_id", ["user_id"], ["nbr", "c"]).join(sims, ["user_id", "nbr"])
+            w = Window.partitionBy("user_id", "item_id").orderBy(F.desc("sim"), "nbr")
+            best = votes.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= self.config.max_nbrs)
+            value = F.sum(F.col("sim") * F.col("c")) / F.sum("sim") if explicit else F.sum("sim")
+            got = best.groupBy("user_id", "item_id").agg(value.alias("score"), F.count("*").alias("nbr_count"))
+        out = pairs.join(got.where(F.col("nbr_count") >= self.config.min_nbrs), ["user_id", "item_id"], "left")
         if explicit:
             means = mine.groupBy("user_id").agg(F.first("m").alias("m"))
             out = out.join(means, "user_id", "left").withColumn("score", F.col("score") + F.col("m")).drop("m")
@@ -135,7 +206,8 @@ class AssociationScorer(Scorer):
     def fit(self, log: DataFrame, options: TrainingOptions) -> None:
         if self.config.max_nbrs not in (None, 1):
             raise NotImplementedError("max_nbrs must be 1 or none")
-        d = known_pairs(log).select("user_id", "item_id").distinct()
+        d = cut(known_pairs(log).select("user_id", "item_id").distinct(), "history")
+        self._held = held_path(d)
         n = d.groupBy("item_id").agg(F.count("*").alias("n"))
         c = cooccurrence(d, "user_id", "item_id")
         k = F.lit(float(self.config.damping))
@@ -143,7 +215,34 @@ class AssociationScorer(Scorer):
         if self.config.method == "lift":
             users = d.agg(F.count_distinct("user_id").alias("n_users"))
             rule = rule.join(n.select(F.col("item_id").alias("item_b"), F.col("n").alias("nb")), "item_b").crossJoin(F.broadcast(users)).withColumn("v", F.col("v") * F.col("n_users") / (F.col("nb") + k))
-        self.tables |= {"rules": cut(rule.select(F.col("item_a").alias("ref"), F.col("item_b").alias("item_id"), "v"), "rules"), "items": n.select("item_id"), "history": d}
+        rules = rule.select(F.col("item_a").alias("ref"), F.col("item_b").alias("item_id"), "v")
+        self.tables |= {"rules": rules if self._held else cut(rules, "rules"), "items": n.select("item_id"), "history": d}
+
+    def load_parameters(self, tables: dict[str, DataFrame]) -> None:
+        super().load_parameters(tables)
+        self._held = None
+
+    def load(self, spark, path: str, names: list[str]) -> None:
+        super().load(spark, path, names)
+        self._held = None
+
+    def _by_held(self, todo: DataFrame) -> DataFrame:
+        k, lift = float(self.config.damping), self.config.method == "lift"
+
+        def run(cells: Cells):
+            sums, (start, many, refs, _), n = Together(cells), cells.user, cells.item[1]
+
+            def one(item, users):
+                count, size = sums.at(item), many[users]
+                at = refs[ragged(start[users], size)]
+                v = count[at] / (n[at] + k)
+                if lift:
+                    v = v * len(cells.users) / (n[item] + k)
+                return np.arange(len(users)), (np.bincount(np.repeat(np.arange(len(users)), size), v, len(users)), np.maximum.reduceat(v, np.cumsum(size) - size))
+
+            return one
+
+        return by_key(todo, "item_id", "_s double, _m double", run, self._held)
 
     def reach(self, users: DataFrame, history: DataFrame, n: int) -> DataFrame:
         return reach_by_rules(self.tables["rules"], self.tables["items"], users, history, n)
@@ -153,7 +252,11 @@ class AssociationScorer(Scorer):
         past = past.join(self.tables["items"], "item_id", "left_semi").select("user_id", F.col("item_id").alias("ref"))
         sizes = past.groupBy("user_id").agg(F.count("*").alias("_n"))
         todo = pairs.select("user_id", "item_id").distinct()
-        got = todo.join(self.tables["rules"], "item_id").join(past, ["user_id", "ref"]).groupBy("user_id", "item_id").agg(F.sum("v").alias("_s"), F.max("v").alias("_m"))
+        if history is None and self._held:
+            got = self._by_held(todo)
+        else:
+            # a user's pairs meet its history first: items meet all their rules in no step
+            got = side_pairs(todo, past, "user_id", ["item_id"], ["ref"]).join(self.tables["rules"], ["item_id", "ref"]).groupBy("user_id", "item_id").agg(F.sum("v").alias("_s"), F.max("v").alias("_m"))
         out = pairs.join(got, ["user_id", "item_id"], "left").join(sizes, "user_id", "left").join(self.tables["items"].withColumn("_k", F.lit(True)), "item_id", "left")
         value = F.coalesce("_m", F.lit(0.0)) if self.config.max_nbrs == 1 else F.coalesce("_s", F.lit(0.0)) / F.col("_n")
         return float_score(out.withColumn("score", F.when(F.col("_k") & (F.col("_n") > 0), value)).select(*pairs.columns, "score"))

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from recmill.models import factor
-from recmill.operators import lists
+from recmill.models.knn import AssociationScorer, ItemKNNScorer, UserKNNScorer
+from recmill.operators import held, lists
 
 
 def test_candidate_counts_without_the_product(spark):
@@ -62,3 +63,33 @@ def test_adam_in_steps():
         opt.step({"a": (at, rows)})
         factor.STEP_CELLS = old
     assert opt.p["a"] == pytest.approx(want, abs=1e-12)
+
+
+NEAR = {
+    "item_knn_implicit": lambda: ItemKNNScorer(feedback="implicit", max_nbrs=3),
+    "item_knn": lambda: ItemKNNScorer(max_nbrs=3, min_nbrs=2),
+    "user_knn": lambda: UserKNNScorer(max_nbrs=3),
+    "user_knn_implicit": lambda: UserKNNScorer(feedback="implicit", max_nbrs=3),
+    "association": AssociationScorer,
+    "association_lift": lambda: AssociationScorer(method="lift", damping=0.5),
+    "association_max": lambda: AssociationScorer(max_nbrs=1),
+}
+
+
+@pytest.mark.parametrize("name", NEAR)
+def test_neighbours_from_held_cells(spark, log, name, monkeypatch):
+    """The same scores as by joins, with a plan in which no pairs of items or users are joined."""
+    asked = spark.createDataFrame([(u, i) for u in range(0, 33, 2) for i in range(22)] + [(2, 3), (None, 3), (2, None)], "user_id int, item_id int")
+    s = NEAR[name]().train(log)
+    got = s.score(asked)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("sims-", "rules-", "_kl"))
+    monkeypatch.setattr(held, "MAX_HELD", 0)
+    want = NEAR[name]().train(log).score(asked)
+    assert "MapInArrow" not in want._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda r: str((r["user_id"], r["item_id"]))
+    a, b = (sorted(x.collect(), key=key) for x in (got, want))
+    assert [tuple(r)[:2] for r in a] == [tuple(r)[:2] for r in b] and any(r["score"] is not None for r in a)
+    for x, y in zip(a, b, strict=True):
+        assert y["score"] is not None and x["score"] == pytest.approx(y["score"], rel=1e-5) if x["score"] is not None else y["score"] is None
+        assert "nbr_count" not in got.columns or x["nbr_count"] == y["nbr_count"]
