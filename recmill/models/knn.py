@@ -46,6 +46,7 @@ class ItemKNNScorer(Scorer):
 
     config_class = ItemKNNConfig
     aliases = {"k": "max_nbrs", "nnbrs": "max_nbrs"}
+    _held: str | None = None
 
     def fit(self, log: DataFrame, options: TrainingOptions) -> None:
         explicit = self.config.feedback == "explicit"
@@ -127,6 +128,7 @@ class UserKNNScorer(Scorer):
 
     config_class = UserKNNConfig
     aliases = {"k": "max_nbrs", "nnbrs": "max_nbrs"}
+    _held: str | None = None
 
     def fit(self, log: DataFrame, options: TrainingOptions) -> None:
         explicit = self.config.feedback == "explicit"
@@ -202,6 +204,7 @@ class AssociationScorer(Scorer):
     lift; their maximum with max_nbrs=1. Users without history get null."""
 
     config_class = AssociationConfig
+    _held: str | None = None
 
     def fit(self, log: DataFrame, options: TrainingOptions) -> None:
         if self.config.max_nbrs not in (None, 1):
