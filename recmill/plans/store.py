@@ -26,7 +26,7 @@ def _save(value: Any, path: str) -> Any:
         value.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return {"table": True}
     if isinstance(value, Scorer):
-        return {"scorer": {k: _save(v, f"{path}/{k}") for k, v in vars(value).items() if k != "config"}, "class": f"{type(value).__module__}:{type(value).__qualname__}", "config": _plain(vars(value.config))}
+        return {"scorer": {k: _save(v, f"{path}/{k}") for k, v in vars(value).items() if k not in ("config", "_held")}, "class": f"{type(value).__module__}:{type(value).__qualname__}", "config": _plain(vars(value.config))}
     if isinstance(value, dict) and any(isinstance(v, DataFrame | Scorer) for v in value.values()):
         return {"each": {k: _save(v, f"{path}/{k}") for k, v in value.items()}}
     return {"value": _plain(value)}
