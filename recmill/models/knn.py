@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recmill.models.base import Scorer, TrainingOptions, float_score, known_pairs, reach_by_rules
-from recmill.operators.held import Cells, Together, by_key, held_path, nearest, ragged, voted
+from recmill.operators.held import BestByRules, Cells, Together, UsersNear, by_key, held_path, nearest, over_keys, ragged, voted
 from recmill.operators.pairs import group_pairs, side_pairs
 from recmill.operators.stats import cooccurrence
 from recmill.session import cut
@@ -147,21 +147,11 @@ class UserKNNScorer(Scorer):
         cfg = self.config
 
         def run(cells: Cells):
-            (ustart, umany, uitems, uvals), (start, many, users, vals) = cells.user, cells.item
-            sims = np.zeros(len(cells.users))
+            near = UsersNear(cells, cfg.min_sim, cfg.max_nbrs)
 
             def one(user, items):
-                cell = slice(ustart[user], ustart[user] + umany[user])
-                mine = uitems[cell]
-                near = ragged(start[mine], many[mine])
-                touched = users[near]
-                np.add.at(sims, touched, np.repeat(uvals["u"][cell], many[mine]) * vals["u"][near])
-                sims[user] = 0
-                flat = ragged(start[items], many[items])
-                seg, sim = np.repeat(np.arange(len(items)), many[items]), sims[users[flat]]
-                sims[touched] = 0
-                best = nearest(seg, sim, users[flat], cfg.min_sim, cfg.max_nbrs)
-                return voted(seg[best], sim[best], vals["c"][flat[best]] if cfg.feedback == "explicit" else None, len(items))
+                seg, sim, value = near(user, items)
+                return voted(seg, sim, value if cfg.feedback == "explicit" else None, len(items))
 
             return one
 
@@ -250,6 +240,12 @@ class AssociationScorer(Scorer):
     def reach(self, users: DataFrame, history: DataFrame, n: int) -> DataFrame:
         return reach_by_rules(self.tables["rules"], self.tables["items"], users, history, n)
 
+    def reach_trained(self, users: DataFrame, history: DataFrame, n: int) -> DataFrame:
+        if not self._held:
+            return self.reach(users, history, n)
+        damping, lift, top = float(self.config.damping), self.config.method == "lift", self.config.max_nbrs == 1
+        return cut(over_keys(users.select("user_id"), f"user_id {dict(users.dtypes)['user_id']}, item_id {dict(self.tables['items'].dtypes)['item_id']}", lambda cells: BestByRules(cells, n, damping, lift, top), self._held), "reach")
+
     def score(self, pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         past = known_pairs(history).select("user_id", "item_id").distinct() if history is not None else self.tables["history"]
         past = past.join(self.tables["items"], "item_id", "left_semi").select("user_id", F.col("item_id").alias("ref"))
