@@ -5,8 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recmill.models import factor
+from recmill.models import factor, linear
 from recmill.models.knn import AssociationScorer, ItemKNNScorer, UserKNNScorer
+from recmill.models.linear import SLIMScorer
 from recmill.operators import held, lists
 from recmill.plans.pipeline import topn_pipeline
 from recmill.session import cut
@@ -172,3 +173,24 @@ def test_few_ids_in_many_tasks(spark):
     rows = got.collect()
     assert sorted(r["user_id"] for r in rows) == list(range(400))
     assert sum(1 / r["n"] for r in rows) == pytest.approx(parts)
+
+
+def test_slim_from_held_cells(spark, monkeypatch):
+    """The same weights as by joins, without a table of items that occur together."""
+    rng = np.random.default_rng(8)
+    x = rng.random((70, 24)) < np.r_[[0.7, 0.5, 0.4], np.full(21, 0.15)]
+    log = spark.createDataFrame([(int(u), int(i) * 2) for u, i in zip(*np.nonzero(x), strict=True)], "user_id int, item_id int")
+    weights = lambda s: {(r["ref"], r["item_id"]): r["w"] for r in s.train(log).tables["weights"].collect()}
+    cut_as = []
+    monkeypatch.setattr(linear, "cut", lambda df, name: cut_as.append(name) or cut(df, name))
+    got = weights(SLIMScorer(max_nbrs=6))
+    assert cut_as == ["history", "weights"]
+    monkeypatch.setattr(held, "MAX_HELD", 0)
+    want = weights(SLIMScorer(max_nbrs=6))
+    assert len(got) > 30 and got.keys() == want.keys() and list(got.values()) == pytest.approx([want[k] for k in got], abs=1e-9)
+    # and with columns of who has the most frequent items
+    monkeypatch.setattr(linear.SLIMHeld, "MANY", 12)
+    monkeypatch.setattr(linear.SLIMHeld, "GROUP", 5)
+    u, i = np.nonzero(x)
+    ref, item, w = linear.SLIMHeld(held.Cells(pa.table({"user_id": u, "item_id": i * 2}), ()), SLIMScorer(max_nbrs=6).config)(np.unique(i * 2))
+    assert dict(zip(zip(ref.tolist(), item.tolist(), strict=True), w, strict=True)) == pytest.approx(want, abs=1e-9)
