@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recmill.models.basic import BiasScorer
-from recmill.models.factor import BiasedSVDScorer
+from recmill.models.factor import BiasedSVDScorer, FunkSVDScorer
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,7 @@ def log(spark):
     return spark.createDataFrame(rows + rows[::7] + [(3, 99, None), (None, 3, 1.0)], "user_id int, item_id int, rating double")
 
 
-ON_BIAS = {"biased_svd": lambda: BiasedSVDScorer(embedding_size=3)}
+ON_BIAS = {"biased_svd": lambda: BiasedSVDScorer(embedding_size=3), "funksvd": lambda: FunkSVDScorer(embedding_size=3, epochs=4)}
 
 
 @pytest.mark.parametrize("name", ON_BIAS)
