@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recmill.models import linear
 from recmill.models.basic import BiasScorer
 from recmill.models.factor import BiasedSVDScorer, FunkSVDScorer
+from recmill.models.linear import EASEScorer
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +37,29 @@ def test_biases_are_found_where_the_model_is_trained(spark, log, name, monkeypat
         assert r["score"] == pytest.approx(plain[r["user_id"], r["item_id"]] + (0 if u is None or i is None else u @ i), abs=1e-5)
     empty = ON_BIAS[name]().train(log.where(F.col("user_id") > 1_000))
     assert all(r["score"] is None for r in empty.score(asked).collect())
+
+
+@pytest.mark.parametrize("group", [1, 7, 99])
+def test_ease_of_many_items(spark, log, group, monkeypatch, tmp_path):
+    """The scores of the dense weights, also for a history of its own and after loading; every item reaches every other."""
+    asked = spark.createDataFrame([(u, i) for u in (0, 5, 77) for i in (*range(20), 99, 100)] + [(None, 3), (2, None)], "user_id int, item_id int")
+    own = spark.createDataFrame([(5, 2), (5, 3), (77, 4), (77, 100)], "user_id int, item_id int")
+
+    def scores(s, history=None):
+        return {(r["user_id"], r["item_id"]): r["score"] for r in s.score(asked, history).collect()}
+
+    dense = EASEScorer(regularization=2.0).train(log)
+    want = scores(dense), scores(dense, own)
+    monkeypatch.setattr(linear, "MAX_DENSE_ITEMS", 5)
+    monkeypatch.setattr(linear.Columns, "GROUP", group)
+    s = EASEScorer(regularization=2.0).train(log)
+    assert "weights" not in s.tables and s.reach(asked, log, 3) is None
+    s.save(str(tmp_path))
+    again = EASEScorer(regularization=2.0)
+    again.load(spark, str(tmp_path), list(s.tables))
+    for got, ref in ((scores(s), want[0]), (scores(s, own), want[1]), (scores(again), want[0])):
+        assert got.keys() == ref.keys() and sum(v is not None for v in ref.values()) > 20
+        assert {k for k, v in got.items() if v is None} == {k for k, v in ref.items() if v is None}
+        assert [got[k] for k in got if got[k] is not None] == pytest.approx([ref[k] for k in got if got[k] is not None], abs=1e-6)
+    with pytest.raises(ValueError, match="positive"):
+        EASEScorer(regularization=0.0).train(log)
