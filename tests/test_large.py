@@ -63,3 +63,24 @@ def test_ease_of_many_items(spark, log, group, monkeypatch, tmp_path):
         assert [got[k] for k in got if got[k] is not None] == pytest.approx([ref[k] for k in got if got[k] is not None], abs=1e-6)
     with pytest.raises(ValueError, match="positive"):
         EASEScorer(regularization=0.0).train(log)
+
+
+def test_funksvd_is_not_trained_in_the_driver(spark, log, monkeypatch):
+    """Training brings one row at most to the driver and sends none; every user and item that is rated gets a vector."""
+    rated = log.where("user_id is not null and rating is not null")
+    want = {side: {r[0] for r in rated.select(f"{side}_id").distinct().collect()} for side in ("user", "item")}
+    whole = type(log).collect
+
+    def one(df):
+        assert len(rows := whole(df)) <= 1, "rows went through the driver"
+        return rows
+
+    with monkeypatch.context() as m:
+        for owner, name in ((log, "toPandas"), (log, "toArrow"), (log, "toLocalIterator"), (spark, "createDataFrame")):
+            m.setattr(type(owner), name, lambda *_, **__: pytest.fail("rows go through the driver"))
+        m.setattr(type(log), "collect", one)
+        s = FunkSVDScorer(embedding_size=3, epochs=4).train(log)
+    for side, ids in want.items():
+        got = s.tables[side].collect()
+        assert len(got) == len(ids) and {r[f"{side}_id"] for r in got} == ids
+        assert all(len(r["vec"]) == 3 and np.isfinite(r["vec"]).all() and np.isfinite(r["b"]) for r in got)
